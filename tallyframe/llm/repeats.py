@@ -11,8 +11,10 @@ not its rank, and suffixes leave as soon as their fate is known:
    windows share it, so one row stands for a run of ~70 suffixes.
 2. A run's whole text is the second digit: where it occurs twice, all its
    windows repeat; where its first digit is unique, none does.
-3. Runs that share the first digit only are sorted to full depth, one row for
-   each window of each distinct run.
+3. Distinct runs that share the first digit only are cut into blocks of BLOCK
+   windows; the third digit is the text that all windows of a block hold.  Where
+   it is unique, none of them repeats.
+4. The blocks left are sorted to full depth, one row for each window.
 
 Counts are combined before each shuffle, so a string found in a third of all
 documents costs a row for each task.  Nothing is sampled or capped.
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, text_key
+from .common import forget, materialize, text_bytes, text_key
 
-DEPTH, SEED = 400, 256
+DEPTH, SEED, BLOCK = 400, 256, 16
 CHUNK = 1 << 16
 _U = np.uint64
 _POS = _U((1 << 22) - 1)
@@ -93,7 +95,8 @@ def _pieces(offs: np.ndarray, depth: int):
 
 
 def _runs(x: np.ndarray, offs: np.ndarray, depth: int, seed: int):
-    """Per piece: arrays (document index, seed position, first and last window, digits)."""
+    """Per piece: arrays (document index, seed position, its distances from the first
+    and last window as 4096 * first + last, digits)."""
     r1, r2 = _rolling(CHUNK + depth)
     w = depth - seed + 1
     for lo, hi, a, b in _pieces(offs, depth):
@@ -121,18 +124,17 @@ def _runs(x: np.ndarray, offs: np.ndarray, depth: int, seed: int):
             shape = ((p - first) * 4096 + (p - last)).astype(_U)
             h1, h2 = mix(h1 + shape), mix(h2 ^ shape)
         d = np.searchsorted(offs, lo + first, "right") - 1
-        base = lo - offs[d]
-        yield d, p + base, first + base, last + base, digit[p].view(np.int64), h1.view(np.int64), h2.view(np.int64)
+        yield d, p + lo - offs[d], shape.astype(np.int32), digit[p].view(np.int64), h1.view(np.int64), h2.view(np.int64)
 
 
 def _scan(depth: int, seed: int):
     def run(batches):
         for batch in batches:
             x, offs = text_bytes(batch.column("text"))
-            for d, p, lo, hi, g, s1, s2 in _runs(x, offs, depth, seed):
+            for d, p, shape, g, s1, s2 in _runs(x, offs, depth, seed):
                 take = pa.array(d)
-                cols = [batch.column("doc_id").take(take), batch.column("tk").take(take), *map(pa.array, (p, lo, hi, g, s1, s2))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tk", "p", "lo", "hi", "g", "s1", "s2"])
+                cols = [batch.column("doc_id").take(take), batch.column("tk").take(take), *map(pa.array, (p, shape, g, s1, s2))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tk", "p", "shape", "g", "s1", "s2"])
 
     return run
 
@@ -147,7 +149,8 @@ def _contexts(depth: int):
             out = []
             for d, found in enumerate(runs):
                 for r in found:
-                    out.append((r["g"], r["s1"], r["s2"], r["p"] - r["lo"], r["p"] - r["hi"], r["many"], x[offs[d] + r["lo"] : offs[d] + r["hi"] + depth].tobytes()))
+                    far, near = divmod(r["shape"], 4096)
+                    out.append((r["s1"], r["s2"], far, near, r["many"], x[offs[d] + r["p"] - far : offs[d] + r["p"] - near + depth].tobytes()))
                     if len(out) >= 20_000:
                         yield _batch(out)
                         out = []
@@ -159,12 +162,17 @@ def _contexts(depth: int):
 
 def _batch(rows):
     cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["g", "s1", "s2", "o_hi", "o_lo", "many", "ctx"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["s1", "s2", "far", "near", "many", "ctx"])
 
 
-def _windows(depth: int):
-    """Full-depth digit of each window of the runs: (w1, w2, run, offset)."""
+def _pass(depth: int, block: int):
+    """A radix pass over the runs' texts.
+
+    A window at distance o before the seed is in block o // block.  Its digit is
+    the text common to the block's windows (block 1: the window itself).  Rows:
+    (w1, w2, s1, s2, b, many); with a column ``left``, only for listed blocks of
+    BLOCK windows."""
 
     def run(batches):
         r1, r2 = _rolling(CHUNK + depth)
@@ -174,20 +182,31 @@ def _windows(depth: int):
             offs = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1]
             x = np.frombuffer(raw, np.uint8)
             s1, s2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
-            top, many = batch.column("o_hi").to_numpy(), batch.column("many").to_numpy(zero_copy_only=False)
+            far, near = batch.column("far").to_numpy().astype(np.int64), batch.column("near").to_numpy().astype(np.int64)
+            many = batch.column("many").to_numpy(zero_copy_only=False)
+            left = batch.column("left") if "left" in batch.schema.names else None
             a = 0
             while a < len(data):
                 b = max(int(np.searchsorted(offs, offs[a] + CHUNK, "right")) - 1, a + 1)
                 y = x[offs[a] : offs[b]]
-                n = np.diff(offs[a : b + 1]) - depth + 1
-                who = np.repeat(np.arange(a, b), n)
-                step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                at = offs[who] - offs[a] + step
-                off = (top[who] - step).astype(np.int32)
+                if left is None:
+                    n = far[a:b] // block - near[a:b] // block + 1
+                    who = np.repeat(np.arange(a, b), n)
+                    place = near[who] // block + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                else:
+                    part = left.slice(a, b - a)
+                    n = part.value_lengths().to_numpy()
+                    who = np.repeat(np.repeat(np.arange(a, b), n), BLOCK)
+                    place = (part.flatten().to_numpy().astype(np.int64)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                    inside = (place >= near[who]) & (place <= far[who])
+                    who, place = who[inside], place[inside]
+                # the block's windows start between these distances before the seed
+                lo = offs[who] - offs[a] + far[who] - place * block
+                hi = lo - (block - 1) + depth
                 with np.errstate(over="ignore"):
-                    w1 = mix(r1.of(r1.sums(y), at, at + depth) + off.astype(_U)).view(np.int64)
-                    w2 = r2.of(r2.sums(y), at, at + depth).view(np.int64)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, (w1, w2, s1[who], s2[who], off, many[who]))), ["w1", "w2", "s1", "s2", "o", "many"])
+                    w1 = mix(r1.of(r1.sums(y), lo, hi) + place.astype(_U)).view(np.int64)
+                    w2 = r2.of(r2.sums(y), lo, hi).view(np.int64)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (w1, w2, s1[who], s2[who], place.astype(np.int32), many[who]))), ["w1", "w2", "s1", "s2", "b", "many"])
                 a = b
 
     return run
@@ -225,26 +244,39 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
     Documents without any are absent; intervals may overlap.  tk is text_key.
     """
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tk"))
-    runs = docs.mapInArrow(_scan(depth, seed), "doc_id long, tk long, p long, lo long, hi long, g long, s1 long, s2 long")
-    runs = materialize(runs, "runs")
-    distinct = runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "p", "lo", "hi")).alias("at"))
-    distinct = materialize(distinct, "distinct-runs")
+    runs = docs.mapInArrow(_scan(depth, seed), "doc_id long, tk long, p long, shape int, g long, s1 long, s2 long")
+    every = materialize(runs, "runs")
+    shared = every.groupBy("g").count().where("count > 1").select("g")
+    runs = materialize(every.join(shared, "g"), "repeated-runs")
+    forget(every)
+    kinds = materialize(runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n")), "distinct-runs")
     # groups of the first digit whose runs differ, at least one of them unique
-    mixed = distinct.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("g")
-    asked = distinct.join(mixed, "g").select("at.doc_id", "at.tk", F.struct("g", "s1", "s2", F.col("at.p").alias("p"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), (F.col("n") > 1).alias("many")).alias("run"))
+    mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("g")
+    asked = runs.join(kinds.join(mixed, "g").select("s1", "s2", (F.col("n") > 1).alias("many")), ["s1", "s2"])
+    asked = asked.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "tk", "p", "shape", "many")).alias("at")).select("at.doc_id", "at.tk", F.struct("s1", "s2", "at.p", "at.shape", "at.many").alias("run"))
     asked = asked.groupBy("doc_id", "tk").agg(F.collect_list("run").alias("runs")).withColumnsRenamed({"doc_id": "id2", "tk": "tk2"})
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")))
-    contexts = texts.select("text", "runs").mapInArrow(_contexts(depth), "g long, s1 long, s2 long, o_hi int, o_lo int, many boolean, ctx binary")
-    windows = materialize(contexts.mapInArrow(_windows(depth), "w1 long, w2 long, s1 long, s2 long, o int, many boolean"), "windows")
-    # a run is listed twice where a row is repeated, so different runs are counted, not rows
-    again = windows.groupBy("w1", "w2").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.max("many").alias("many")).where("a <> b or many").select("w1", "w2")
-    part = windows.where("not many").join(again, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("o").alias("os"))
-    whole = distinct.where("n > 1").select("s1", "s2", F.lit(None).cast("array<int>").alias("os"))
+    contexts = materialize(texts.select("text", "runs").mapInArrow(_contexts(depth), "s1 long, s2 long, far int, near int, many boolean, ctx binary"), "contexts")
+    digits = "w1 long, w2 long, s1 long, s2 long, b int, many boolean"
+
+    def again(rows: DataFrame) -> DataFrame:
+        # a run is listed twice where a row is repeated, so different runs are counted, not rows
+        return rows.groupBy("w1", "w2").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.max("many").alias("many")).where("x <> y or many").select("w1", "w2")
+
+    cores = materialize(contexts.mapInArrow(_pass(depth, BLOCK), digits), "cores")
+    left = cores.join(again(cores), ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("b").alias("left"))
+    windows = materialize(contexts.join(left, ["s1", "s2"]).mapInArrow(_pass(depth, 1), digits), "windows")
+    part = windows.where("not many").join(again(windows), ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("b").alias("os"))
+    whole = kinds.where("n > 1").select("s1", "s2", F.lit(None).cast("array<int>").alias("os"))
     hit = runs.join(whole.union(part), ["s1", "s2"])
-    cover = F.when(F.col("os").isNull(), F.array(F.struct(F.col("lo"), (F.col("hi") + depth).alias("hi")))).otherwise(
+    lo, hi = F.col("p") - F.floor(F.col("shape") / 4096), F.col("p") - F.col("shape") % 4096 + depth
+    cover = F.when(F.col("os").isNull(), F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).otherwise(
         F.transform("os", lambda o: F.struct((F.col("p") - o).alias("lo"), (F.col("p") - o + depth).alias("hi")))
     )
-    return hit.select("doc_id", "tk", cover.alias("c")).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("c")).alias("found"))
+    found = hit.select("doc_id", "tk", cover.alias("c")).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("c")).alias("found"))
+    found = materialize(found, "covered")
+    forget(runs, kinds, contexts, cores, windows)
+    return found
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
