@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_bytes
+from .common import components, forget, materialize, text_bytes
 from .repeats import _rolling, mix
 
-FREQUENT = 1 << 18
+FREQUENT, SLICES = 1 << 18, 2
 HEAVY = np.uint64(1 << 63)
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -272,15 +272,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     shared = spark.sparkContext.broadcast((grams[by_hash], rank[by_hash]))
 
     first = docs.select("text").mapInArrow(_prefixes(size, percent, shared), "t long, cls long, n int, pos int")
-    first = materialize(first, "prefixes")
+    prefixes = materialize(first, "prefixes")
     # leader of an n-gram: the class that has it earliest in its order
     pack = F.shiftleft(F.least("pos", F.lit(65535)).cast("long"), 47).bitwiseOR(F.col("cls").bitwiseAND(F.lit((1 << 47) - 1)))
-    first = first.withColumn("pack", pack)
+    first = prefixes.withColumn("pack", pack)
     by = Window.partitionBy("t")
     light = first.where("t >= 0").select("*", F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"), F.min("pack").over(by).alias("lead")).where("lo <> hi").drop("lo", "hi")
     heavy = first.where("t < 0")
     heavy = heavy.join(heavy.groupBy("t").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("pack").alias("lead")).where("lo <> hi").select("t", "lead"), "t")
     common = materialize(light.unionByName(heavy), "shared-prefixes")
+    forget(prefixes)
 
     reps = each.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
 
@@ -289,7 +290,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
         ids = wanted.join(reps, "cls").withColumnRenamed("rep", "doc_id")
         texts = docs.join(ids, "doc_id").select("cls", "text")
         made = texts.mapInArrow(_sets(size, shared), "cls long, n int, keys binary, sig long")
-        return materialize(made.where("cls = sig").drop("sig").dropDuplicates(["cls"]), "sets")
+        # a set made twice, for rows that repeat an id, gives its links twice
+        return materialize(made.where("cls = sig").drop("sig"), "sets")
+
+    def test(pairs: DataFrame, label: str) -> DataFrame:
+        # in slices by leader, so that only a part of the sets is on disk at a time
+        out = None
+        for k in range(SLICES):
+            part = pairs.where(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k)
+            sets = sets_of(part.select(F.col("a").alias("cls")).union(part.select("b")).distinct())
+            found = materialize(_links(part, sets, percent), label)
+            forget(sets)
+            out = found if out is None else out.union(found)
+        return out
 
     heads = common.where("pack = lead").select("t", F.col("cls").alias("a"), F.col("n").alias("na")).distinct()
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -298,8 +311,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     best = star.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
     crowd = best.groupBy("a").agg(F.count("*").alias("many"))
     tested = materialize(best.join(crowd, "a").select("a", "b", "many"), "round-1")
-    sets = sets_of(tested.select(F.col("a").alias("cls")).union(tested.select("b")).distinct())
-    found = materialize(_links(tested, sets, percent), "links-1")
+    found = test(tested, "links-1")
     groups = materialize(components(found), "groups-1")
 
     left = common.join(groups, F.col("cls") == F.col("node"), "left").select("t", "cls", "n", "pos", F.coalesce("component", "cls").alias("g"))
@@ -313,9 +325,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     pairs = pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
     pairs = materialize(pairs, "round-2")
     crowd = pairs.groupBy("a").agg(F.count("*").alias("many"))
-    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-    found = found.union(_links(pairs.join(crowd, "a").select("a", "b", "many"), sets, percent))
+    found = found.union(test(pairs.join(crowd, "a").select("a", "b", "many"), "links-2"))
     found = materialize(found, "links")
+    forget(pairs, left, common)
 
     groups = components(found)
     least_id = groups.join(reps, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("least_id"))
