@@ -83,8 +83,7 @@ def nominal_size(token: Column) -> Column:
     """Nominal pipe size in inches of 1¼, 3/4", 2, 1-1/2; others null."""
     t = F.regexp_replace(F.trim(token), "[\"”Ø]+$", "")
     for mark, plain in FRACTIONS:
-        t = F.regexp_replace(t, rf"^(\d+)[-\s]?{mark}$", f"$1-{plain}")
-        t = F.when(t == mark, F.lit(plain)).otherwise(t)
+        t = F.replace(F.regexp_replace(t, rf"^(\d+)[-\s]?{mark}$", f"$1-{plain}"), F.lit(mark), F.lit(plain))
     inches = F.when(t.rlike(r"^\d+(?:[-\s]\d+/\d+|/\d+|\.\d+)?$"), paper_inches(t))
     near = F.filter(F.array(*[F.lit(s) for s, _ in NOMINAL]), lambda s: F.abs(inches - s) <= 0.02)
     return F.get(near, F.lit(0))

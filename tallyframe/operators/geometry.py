@@ -37,20 +37,10 @@ def in_cells(df: DataFrame, x0: str, y0: str, x1: str, y1: str, size: float, gro
 
 
 def walk_cells(df: DataFrame, size: float, grow: float) -> DataFrame:
-    """Cells along a segment (x0, y0, x1, y1): for each cell of the longer axis, those
-    of the other axis that the segment passes there.  A superset, never less."""
-    wide = F.abs(F.col("x1") - F.col("x0")) >= F.abs(F.col("y1") - F.col("y0"))
-    a0, a1 = F.when(wide, F.col("x0")).otherwise(F.col("y0")), F.when(wide, F.col("x1")).otherwise(F.col("y1"))
-    b0, b1 = F.when(wide, F.col("y0")).otherwise(F.col("x0")), F.when(wide, F.col("y1")).otherwise(F.col("x1"))
-    slope = F.coalesce(F.try_divide(b1 - b0, a1 - a0), F.lit(0.0))
-    out = df.withColumn("ca", F.explode(cells(F.least(a0, a1) - grow, F.greatest(a0, a1) + grow, size)))
-    lo = F.greatest(F.col("ca") * size - grow, F.least(a0, a1))
-    hi = F.least((F.col("ca") + 1) * size + grow, F.greatest(a0, a1))
-    at = lambda a: b0 + slope * (a - a0)
-    low, high = F.least(at(lo), at(hi)), F.greatest(at(lo), at(hi))
-    low, high = F.greatest(low, F.least(b0, b1)), F.least(high, F.greatest(b0, b1))
-    out = out.withColumn("cb", F.explode(cells(F.least(low, high) - grow, F.greatest(low, high) + grow, size)))
-    return out.withColumn("cx", F.when(wide, F.col("ca")).otherwise(F.col("cb"))).withColumn("cy", F.when(wide, F.col("cb")).otherwise(F.col("ca"))).drop("ca", "cb")
+    """Cells of a segment's box, grown: exactly those it crosses where it runs along an
+    axis, a superset else, which the exact distance test behind every use settles."""
+    box = df.withColumns({"bx0": F.least("x0", "x1"), "by0": F.least("y0", "y1"), "bx1": F.greatest("x0", "x1"), "by1": F.greatest("y0", "y1")})
+    return in_cells(box, "bx0", "by0", "bx1", "by1", size, grow).drop("bx0", "by0", "bx1", "by1")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
