@@ -101,7 +101,7 @@ def test_mixing(spark):
 
 def test_licenses():
     s = licenses.Scanner()
-    assert s.scan(b"Licensed under the Apache License, Version 2.0.")[:6] == (7, 1, 3, 3, "apache", "apache,apache-2.0")
+    assert s.scan(b"Licensed under the Apache License, Version 2.0.")[:6] == (8, 1, 3, 3, "apache", "apache,apache-2.0")
     assert s.scan(b"the apache license")[1:5] == (1, 1, 1, "apache")
     assert s.scan(b"mit freundlichen by")[:2] == (3, 0) and s.scan(b"")[0] == 0
     assert len(licenses.rules()) > 200
