@@ -70,13 +70,14 @@ def system_totals(items: DataFrame) -> DataFrame:
     return items.where("state = 'counted'").groupBy("system").agg(F.round(F.sum(F.round("lf", 1)), 1).alias("lf"))
 
 
-_RANK = F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2))
+def confidence_rank(confidence: Column) -> Column:
+    return F.when(confidence == "high", 0).when(confidence == "medium", 1).otherwise(2)
 
 
 def by_system(items: DataFrame) -> DataFrame:
     """Sink rows: quantity, sheets, pens and worst confidence by system."""
     trusted = items.where("state = 'counted'")
-    return trusted.groupBy("system").agg(F.round(F.sum(F.round("lf", 1)), 1).alias("lf"), F.countDistinct("sheet").alias("n_sheets"), F.countDistinct("style").alias("n_styles"), F.max_by("confidence", F.coalesce(_RANK[F.col("confidence")], F.lit(2))).alias("worst"))
+    return trusted.groupBy("system").agg(F.round(F.sum(F.round("lf", 1)), 1).alias("lf"), F.countDistinct("sheet").alias("n_sheets"), F.countDistinct("style").alias("n_styles"), F.max_by("confidence", confidence_rank(F.col("confidence"))).alias("worst"))
 
 
 def system_size(networks: DataFrame, sized: DataFrame) -> DataFrame:
