@@ -14,6 +14,7 @@ hash; a shard's memory is bounded by SHARD_BYTES and its longest document.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -25,29 +26,66 @@ from .common import materialize
 
 LENGTH, END, SHARD_BYTES, TERMS = 2048, 1, 6_000_000, 24
 K1, B = 1.2, 0.75
+#: Words kept per worker; candidates for the mark between words; what ``str.split`` takes for white space and the tokenizer does not.
+KEPT_WORDS, MARKS, ODD = 600_000, "\u00a4\u00b6\u00a7|~", "\x1c\x1d\x1e\x1f"
 _tokenizers: dict = {}
-_words: dict[str, np.ndarray] = {}
+_words: dict[str, bytes] = {}
 
 
-def _encode(path: str, texts: list[str]) -> list[np.ndarray]:
+def _load(path: str):
+    """(tokenizer, mark, id of the mark); a mark is one id wherever it stands alone."""
+    if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        ids = {c: tok.encode(c, add_special_tokens=False).ids for c in MARKS}
+        _tokenizers[path] = (tok, *next(((c, i[0]) for c, i in ids.items() if len(i) == 1), (None, None)))
+    return _tokenizers[path]
+
+
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes()
+
+
+def _encode_words(path: str, words: list[str]) -> None:
+    """Put the ids of each word in ``_words``.  Words go to the tokenizer in runs
+    with a mark between; words that hold the mark go alone."""
+    tok, mark, mark_id = _load(path)
+    alone = [w for w in words if mark is None or mark in w]
+    plain = [w for w in words if mark is not None and mark not in w]
+    runs = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+    for a in range(0, len(runs), 64):
+        part = runs[a : a + 64]
+        for run, e in zip(part, tok.encode_batch_fast([f" {mark} ".join(r) for r in part], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == mark_id)
+            if len(cut) != len(run) - 1:
+                alone += run
+                continue
+            raw = ids.tobytes()
+            for w, s, t in zip(run, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True):
+                _words[w] = raw[s:t]
+    for a in range(0, len(alone), 4096):
+        part = alone[a : a + 4096]
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            _words[w] = _raw(e.ids)
+
+
+def _encode(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text.  The tokenizer drops white space and never joins across
     it, so distinct chunks between white space are encoded once and kept."""
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    tok = _tokenizers[path]
-    split = [t.split() for t in texts]
+    odd = {i for i, t in enumerate(texts) if any(c in t for c in ODD)}
+    split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
     new = list({w for ws in split for w in ws if w not in _words})
-    if len(_words) + len(new) > 400_000:
+    if len(_words) + len(new) > KEPT_WORDS:
         _words.clear()
         new = list({w for ws in split for w in ws})
-    for a in range(0, len(new), 4096):
-        part = new[a : a + 4096]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-            _words[w] = np.array(e.ids, np.uint32).tobytes()
-    get = _words.__getitem__
-    return [b"".join(map(get, ws)) for ws in split]
+    _encode_words(path, new)
+    out = [b"".join(map(_words.__getitem__, ws)) for ws in split]
+    for i in odd:
+        out[i] = _raw(_load(path)[0].encode(texts[i], add_special_tokens=False).ids)
+    return out
 
 
 def _tokens(path: str):
@@ -58,8 +96,9 @@ def _tokens(path: str):
             ids, texts = batch.column("doc_id"), batch.column("text")
             for a in range(0, len(batch), 512):
                 part = [t or "" for t in texts.slice(a, 512).to_pylist()]
-                rows = [t + tail for t in _encode(path, part)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 512), pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([np.frombuffer(r, np.uint32).astype(np.uint16).tobytes() if max(np.frombuffer(r, np.uint32)) < 65536 else r for r in rows], pa.binary())], ["doc_id", "doc_tokens", "ids"])
+                rows = [np.frombuffer(t + tail, np.uint32) for t in _encode(path, part)]
+                kept = [(r.astype(np.uint16) if r.max() < 65536 else r).tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, 512), pa.array([len(r) for r in rows], pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "doc_tokens", "ids"])
 
     return run
 
