@@ -27,7 +27,7 @@ from .common import materialize
 LENGTH, END, SHARD_BYTES, TERMS = 2048, 1, 6_000_000, 24
 K1, B = 1.2, 0.75
 #: Words kept per worker; candidates for the mark between words; what ``str.split`` takes for white space and the tokenizer does not.
-KEPT_WORDS, MARKS, ODD = 600_000, "\u00a4\u00b6\u00a7|~", "\x1c\x1d\x1e\x1f"
+KEPT_WORDS, MARKS, ODD = 1_000_000, "\u00a4\u00b6\u00a7|~", "\x1c\x1d\x1e\x1f"
 _tokenizers: dict = {}
 _words: dict[str, bytes] = {}
 
@@ -112,7 +112,8 @@ def _frequencies(batches):
     for batch in batches:
         n, total = batch.column("doc_tokens").to_numpy(), np.zeros(65536, np.int64)
         for raw, k in zip(batch.column("ids"), n, strict=True):
-            at = np.unique(_ids(raw.as_buffer().to_pybytes(), k))
+            raw = raw.as_buffer()
+            at = np.unique(np.frombuffer(raw, np.uint16 if raw.size == 2 * k else np.uint32))
             if len(at) and at[-1] >= len(total):
                 total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
             total[at] += 1
