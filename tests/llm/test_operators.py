@@ -167,3 +167,16 @@ def test_grades_are_ordered():
 @pytest.mark.parametrize("f", [repeats.remove_repeats, shingles.jaccard_components, pseudonyms.pseudonymise, licenses.scan_licenses])
 def test_empty_table(spark, f):
     assert f(docs_of(spark, [(1, "a")]).where("doc_id = 0")).count() == 0
+
+
+def test_words_in_runs_have_the_ids_of_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tallyframe.llm.packing import _encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", " \t", "a\x1cb c\x1f", "|a| || ~ ¤ x", "it's CAN'T", "é ́x", "a b　c\x85d", "w" * 5000, "same same"]
+    whole = Tokenizer.from_file(path)
+    for text, raw in zip(texts, _encode(path, texts), strict=True):
+        assert np.frombuffer(raw, np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
