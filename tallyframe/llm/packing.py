@@ -1,15 +1,20 @@
 """Lexical retrieval packing.
 
-Documents are tokenised whole and dealt to shards of about SHARD_BYTES of text.
+Documents are tokenised whole and dealt by content to shards of about SHARD_BYTES
+of ids: a document's BM25 weights are projected to SKETCH numbers, and a tree of
+cuts through the sketches, balanced by tokens on a sample, leads similar documents
+to the same leaf, so that neighbours stay candidates however large the input is.
 A shard holds an inverted index of its documents with BM25 weights (document
 frequencies are counted over the whole corpus; the table has one entry for each
 id of the vocabulary).  A seed document opens a window; its unused neighbours
-by BM25, best first, fill it; the document that crosses the window's end is cut
-there and its rest seeds the next window.  What is left at a shard's end is cut
-into sequences whose lengths are powers of two, which need no padding.
-
-The hot part of any source is spread over all shards, as shards are dealt by a
-hash; a shard's memory is bounded by SHARD_BYTES and its longest document.
+by BM25 on all its terms, best first, fill it; the document that crosses the window's
+end is cut there and its rest seeds the next window.  What is left at a shard's end
+is cut into sequences whose lengths are powers of two, which need no padding.
+
+Neighbours in other shards are not seen; the README has the share that is.  All
+documents decide the size of each leaf; one of over twice SHARD_BYTES (a hot group
+of copies, say) is dealt on by a hash to as many shards as it needs.  A shard's
+memory is bounded by that and its longest document.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
-LENGTH, END, SHARD_BYTES, TERMS = 2048, 1, 6_000_000, 24
+LENGTH, END, SHARD_BYTES = 2048, 1, 6_000_000
 K1, B = 1.2, 0.75
+#: Numbers in a sketch; documents for each leaf from which the cuts are drawn (every document is dealt by them).
+SKETCH, LEAF_SAMPLE = 128, 48
 #: Words kept per worker; candidates for the mark between words; what ``str.split`` takes for white space and the tokenizer does not.
 KEPT_WORDS, MARKS, ODD = 1_000_000, "\u00a4\u00b6\u00a7|~", "\x1c\x1d\x1e\x1f"
 _tokenizers: dict = {}
@@ -121,38 +128,139 @@ def _frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "n"])
 
 
+def _idf(df: np.ndarray, total: int) -> np.ndarray:
+    return np.log1p((total - df + 0.5) / (df + 0.5))
+
+
+def _weights(doc: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, BM25 weights) of a document."""
+    t, c = np.unique(doc, return_counts=True)
+    return t, idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(doc) / max(mean, 1)))
+
+
+_axes: dict[int, np.ndarray] = {}
+
+
+def sketch(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> np.ndarray:
+    """Unit rows: the documents' BM25 weights on fixed random axes."""
+    if len(idf) not in _axes:
+        _axes[len(idf)] = np.random.default_rng(0).standard_normal((len(idf), SKETCH), np.float32)
+    out = np.zeros((len(docs), SKETCH), np.float32)
+    for i, d in enumerate(docs):
+        t, w = _weights(d, idf, mean)
+        out[i] = w.astype(np.float32) @ _axes[len(idf)][t]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Tree:
+    """Cuts through sketches; a leaf holds a like share of the tokens."""
+
+    def __init__(self, x: np.ndarray, tokens: np.ndarray, leaves: int):
+        self.axis, self.cut, self.low, self.high, self.leaves = [], [], [], [], 0
+        self.root = self._grow(x, tokens.astype(np.float64), leaves)
+        self.axis = np.array(self.axis, np.float32).reshape(-1, x.shape[1])
+        self.cut, self.low, self.high = np.array(self.cut, np.float32), np.array(self.low, np.int64), np.array(self.high, np.int64)
+
+    def _grow(self, x: np.ndarray, tokens: np.ndarray, leaves: int) -> int:
+        """Number of a node; of a leaf, -1 less its number."""
+        if leaves > 1 and len(x) > 1:
+            at = x - np.average(x, axis=0, weights=tokens)
+            axis = np.linalg.eigh((at * tokens[:, None].astype(np.float32)).T @ at)[1][:, -1].astype(np.float32)
+            p = (x * axis).sum(1)
+            order = np.argsort(p, kind="stable")
+            share = np.cumsum(tokens[order]) / tokens.sum()
+            p = p[order]
+            # the widest gap, near the middle where there is one, so that few groups are cut
+            k, gap = np.flatnonzero((share[:-1] > 0.35) & (share[:-1] < 0.65)), np.diff(p)
+            if not len(k) or gap[k].max() <= 1e-5:
+                k = np.flatnonzero(gap > 1e-5)
+            if len(k):
+                best = k[np.argmax(gap[k])]
+                node, cut = len(self.cut), (p[best] + p[best + 1]) / 2
+                few = min(max(round(leaves * share[best]), 1), leaves - 1)
+                for a, v in ((self.axis, axis), (self.cut, cut), (self.low, 0), (self.high, 0)):
+                    a.append(v)
+                side = np.zeros(len(x), bool)
+                side[order[: best + 1]] = True
+                self.low[node] = self._grow(x[side], tokens[side], few)
+                self.high[node] = self._grow(x[~side], tokens[~side], leaves - few)
+                return node
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), self.root, np.int64)
+        while len(at := np.flatnonzero(node >= 0)):
+            n = node[at]
+            node[at] = np.where((x[at] * self.axis[n]).sum(1) <= self.cut[n], self.low[n], self.high[n])
+        return -1 - node
+
+
+def _sketches(shared):
+    def run(batches):
+        df, total, mean = shared.value
+        idf = _idf(df, total)
+        for batch in batches:
+            n = batch.column("doc_tokens").to_pylist()
+            x = sketch([_ids(r, k) for r, k in zip(batch.column("ids").to_pylist(), n, strict=True)], idf, mean)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("doc_tokens")], ["sketch", "doc_tokens"])
+
+    return run
+
+
+def _leaves(shared, tree):
+    def run(batches):
+        df, total, mean = shared.value
+        idf = _idf(df, total)
+        for batch in batches:
+            n = batch.column("doc_tokens").to_pylist()
+            x = sketch([_ids(r, k) for r, k in zip(batch.column("ids").to_pylist(), n, strict=True)], idf, mean)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc_tokens", "ids", "order")), pa.array(tree.value.leaf(x))], ["doc_id", "doc_tokens", "ids", "order", "leaf"])
+
+    return run
+
+
 class Index:
     """BM25 postings of one shard's documents."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, total: int, mean: float):
-        terms, owner, count = [], [], []
+        self.idf = _idf(df, total)
+        terms, owner, weight = [], [], []
         for i, d in enumerate(docs):
-            t, c = np.unique(d, return_counts=True)
+            t, w = _weights(d, self.idf, mean)
             terms.append(t)
             owner.append(np.full(len(t), i, np.int32))
-            count.append(c)
-        terms, owner, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, owner, count))
-        size = np.array([len(d) for d in docs], np.float64)
-        self.idf = np.log1p((total - df + 0.5) / (df + 0.5))
-        weight = self.idf[terms] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[owner] / max(mean, 1)))
+            weight.append(w)
+        terms, owner, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, owner, weight))
         order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.start = np.searchsorted(terms[order], np.arange(len(df) + 1))
+        terms, self.owner, self.weight = terms[order], owner[order], weight[order].astype(np.float32)
+        self.start = np.searchsorted(terms, np.arange(len(df) + 1))
         self.count = len(docs)
-
-    def neighbours(self, seed: np.ndarray, unused: np.ndarray, most: int) -> np.ndarray:
-        """Unused documents that share a salient term with the seed, best first."""
+        # terms of many documents have a row over all of them, which is faster to add
+        often = np.flatnonzero(np.diff(self.start) > max(self.count / 8, 1))
+        self.row = np.full(len(df), -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.count), np.float32)
+        at = self.row[terms] >= 0
+        self.rows[self.row[terms[at]], self.owner[at]] = self.weight[at]
+
+    def scores(self, seed: np.ndarray) -> np.ndarray:
+        """BM25 of all documents to all terms of the seed."""
         terms = np.unique(seed)
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], TERMS)[:TERMS]]
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in terms if self.start[t + 1] - self.start[t] > 1]
-        if not spans:
-            return np.zeros(0, np.int64)
-        at = np.concatenate(spans)
-        score = np.bincount(self.owner[at], self.weight[at], self.count)
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(0, dtype=np.float64)
+        spans = [np.arange(self.start[t], self.start[t + 1]) for t in terms[row < 0] if self.start[t + 1] - self.start[t] > 1]
+        if spans:
+            at = np.concatenate(spans)
+            score += np.bincount(self.owner[at], self.weight[at], self.count)
+        return score
+
+    def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with the seed, best first."""
+        score = self.scores(seed)
         score[~unused] = 0
-        best = np.argsort(-score, kind="stable")[:most]
-        return best[score[best] > 0]
+        near = np.flatnonzero(score > 0)
+        return near[np.argsort(-score[near], kind="stable")]
 
 
 def fill(docs: list[np.ndarray], index: Index, length: int = LENGTH):
@@ -180,10 +288,11 @@ def fill(docs: list[np.ndarray], index: Index, length: int = LENGTH):
         if done < size[doc]:
             queue = [(doc, done)]  # the rest seeds the next window
         elif room and not queue:
-            for near in index.neighbours(docs[doc], unused, 16):
+            room_left = room
+            for near in index.neighbours(docs[doc], unused):
                 unused[near] = False
                 queue.append((int(near), 0))
-                room_left = room - sum(size[q] - d for q, d in queue)
+                room_left -= size[near]
                 if room_left <= 0:
                     break
     tail = [p for p in pieces if p[0] == sequence]
@@ -243,7 +352,26 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, shard_bytes: int
     df = np.zeros(max(65536, int(counts.term.max() or 0) + 1 if len(counts) else 0), np.float64)
     df[counts.term.to_numpy(np.int64)] = counts.n.to_numpy(np.float64)
     shared = spark.sparkContext.broadcast((df, total, mean or 0.0))
-    shards = max(1, int(total * (mean or 0) * 4) // shard_bytes + 1)
-    order = F.xxhash64("doc_id", "doc_tokens")
-    dealt = tokens.withColumn("order", order).withColumn("shard", F.pmod(F.col("order"), F.lit(shards)))
+    tokens = tokens.withColumn("order", F.xxhash64("doc_id", "doc_tokens"))
+    dealt = _dealt(tokens, shared, int(total * (mean or 0) * 4) // shard_bytes + 1, shard_bytes)
     return dealt.groupBy("shard").applyInPandas(_pack(shared, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+
+def _dealt(tokens: DataFrame, shared, leaves: int, shard_bytes: int) -> DataFrame:
+    """tokens (with order, a hash) and the shard of each row, by content."""
+    if leaves < 2:
+        return tokens.withColumn("shard", F.lit(0).cast("long"))
+    spark, (_, total, _) = tokens.sparkSession, shared.value
+    some = tokens.where(F.pmod("order", F.lit(1 << 20)) < int((1 << 20) * LEAF_SAMPLE * leaves / total) + 1)
+    some = some.mapInArrow(_sketches(shared), "sketch binary, doc_tokens long").toPandas().sort_values(["sketch", "doc_tokens"])
+    x = np.frombuffer(b"".join(some.sketch), np.float32).reshape(-1, SKETCH)
+    tree = spark.sparkContext.broadcast(Tree(x, some.doc_tokens.to_numpy(), leaves))
+    dealt = materialize(tokens.mapInArrow(_leaves(shared, tree), "doc_id long, doc_tokens long, ids binary, order long, leaf long"), "dealt")
+    forget(tokens)
+    sizes = dealt.groupBy("leaf").agg(F.sum("doc_tokens").alias("n")).toPandas()  # a row per leaf
+    parts = np.ones(tree.value.leaves, np.int64)
+    parts[sizes.leaf] = np.where(4 * sizes.n > 2 * shard_bytes, -(-4 * sizes.n // shard_bytes), 1)
+    first = np.cumsum(parts) - parts
+    lookup = spark.createDataFrame([(int(k), int(a), int(n)) for k, (a, n) in enumerate(zip(first, parts, strict=True))], "leaf long, first long, parts long")
+    shard = F.col("first") + F.pmod(F.shiftrightunsigned("order", 20), F.col("parts"))
+    return dealt.join(F.broadcast(lookup), "leaf").withColumn("shard", shard).drop("leaf", "first", "parts")

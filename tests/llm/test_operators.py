@@ -180,3 +180,32 @@ def test_words_in_runs_have_the_ids_of_whole_texts():
     whole = Tokenizer.from_file(path)
     for text, raw in zip(texts, _encode(path, texts), strict=True):
         assert np.frombuffer(raw, np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_keeps_copies_together_in_many_shards(spark):
+    import public_tokenizers
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(100)]
+        for k in range(4):
+            rows.append((4 * g + k, " ".join(w if rng.random() < 0.95 else rng.choice(words) for w in base)))
+    got = packing.pack(docs_of(spark, rows), public_tokenizers.path("word_bpe_49k.json"), length=512, shard_bytes=40_000).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert len(shard) == 240 and len(set(shard.values())) >= 8
+    assert sum(shard[4 * g] == shard[4 * g + k] for g in range(60) for k in (1, 2, 3)) >= 120  # dealt by a hash, about 20
+    copies = packing.pack(docs_of(spark, [(i, " ".join(words[:100])) for i in range(300)]), public_tokenizers.path("word_bpe_49k.json"), length=512, shard_bytes=40_000).collect()
+    sizes = Counter()
+    for r in copies:
+        sizes[r.sequence_id >> 32] += 4 * r.length
+    assert len({r.doc_id for r in copies}) == 300 and max(sizes.values()) < 80_000
+
+
+def test_packing_asks_for_all_terms():
+    docs = [np.arange(60), np.arange(30, 60), *(np.arange(30) + 100 * k for k in range(1, 4))]
+    df = np.ones(65536)
+    df[30:60] = 2
+    index = packing.Index([d.astype(np.uint32) for d in docs], df, 5, 40.0)
+    assert index.neighbours(docs[0], np.array([False, True, True, True, True])).tolist() == [1]
