@@ -209,3 +209,12 @@ def test_packing_asks_for_all_terms():
     df[30:60] = 2
     index = packing.Index([d.astype(np.uint32) for d in docs], df, 5, 40.0)
     assert index.neighbours(docs[0], np.array([False, True, True, True, True])).tolist() == [1]
+
+
+def test_pseudonyms_without_digits(spark):
+    secrets = ["password: correcthorsebattery", "passwd=abcdefgh", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "abcdefabcd" * 4, "ABCDEFABCD" * 4]
+    rows = [(i, f"see {s} here") for i, s in enumerate(secrets)] + [(9, "a password is a word")]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows)).collect()}
+    for i, s in enumerate(secrets):
+        assert got[i].n_found == {"secret": 1} and s not in got[i].text
+    assert got[9].text == "a password is a word" and got[9].n_found == {}
