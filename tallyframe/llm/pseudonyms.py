@@ -89,6 +89,15 @@ def _luhn(digits: Column, shift: int = 0) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, b: a + b)
 
 
+def _card_in(m: Column) -> Column:
+    """The card in a digit run that is none as a whole: the first Luhn-valid part
+    between separators, of 16 or 15 digits if there is one; m where there is none."""
+    parts = F.concat(*[F.regexp_extract_all(m, F.lit(rf"(?<!\d)(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d))"), F.lit(1)) for n in (16, 15, 19, 18, 17, 14, 13)])
+    valid = F.filter(parts, lambda c: _luhn(_digits(c)) % 10 == 0)
+    run = m.rlike(r"^\d(?:[ -]?\d){12,18}$") & ~m.rlike(f"^(?:{DATE}|{PHONE}|{DASHED})$")
+    return F.when(run & (_luhn(_digits(m)) % 10 != 0), F.coalesce(F.try_element_at(valid, F.lit(1)), m)).otherwise(m)
+
+
 def kind_of(m: Column) -> Column:
     """Kind of a validated candidate, else null."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
@@ -154,8 +163,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     Repeated rows are treated alike; empty table: empty result.
     """
     pieces = F.split("text", FOUND, -1)
-    pairs = F.transform(F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    made = F.transform("hits", lambda h: pseudonym(h["m"], h["kind"], key))
+    parts = F.transform(F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)), lambda w: F.struct(w.alias("whole"), _card_in(w).alias("m")))
+    pairs = F.transform(parts, lambda h: F.struct(h["whole"].alias("whole"), h["m"].alias("m"), kind_of(h["m"]).alias("kind")))
+
+    def put(h: Column) -> Column:
+        at = F.instr(h["whole"], h["m"])
+        return F.concat(F.substring(h["whole"], F.lit(1), at - 1), pseudonym(h["m"], h["kind"], key), F.substring(h["whole"], at + F.length(h["m"]), F.length(h["whole"])))
+
+    made = F.transform("hits", put)
     names = [c for c in docs.columns if c not in ("text", "n_found")]
     maybe = F.col("text").rlike("[@0-9]") | F.col("text").rlike(SECRET)  # all others hold a digit or @
     d = docs.select(*names, "text", F.when(maybe, pairs).alias("hits"))

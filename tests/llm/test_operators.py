@@ -218,3 +218,13 @@ def test_pseudonyms_without_digits(spark):
     for i, s in enumerate(secrets):
         assert got[i].n_found == {"secret": 1} and s not in got[i].text
     assert got[9].text == "a password is a word" and got[9].n_found == {}
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4068516892505468"
+    rows = [(0, f"{card} 123"), (1, f"{card} 12/27"), (2, f"item 5 {card}"), (3, "4068 5168 9250 5468 123"), (4, card), (5, "4068516892505469 123")]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows)).collect()}
+    new = got[4].text
+    assert [got[i].text for i in (0, 1, 2)] == [f"{new} 123", f"{new} 12/27", f"item 5 {new}"] and new != card
+    assert got[3].text.replace(" ", "") == new + "123" and all(got[i].n_found == {"card": 1} for i in range(5))
+    assert got[5].text == "4068516892505469 123"
