@@ -149,7 +149,7 @@ class Scanner:
     def scan(self, raw: bytes):
         """(n_words, n_base, first, last, base labels, labels, score, detections) of one text."""
         words = raw.translate(_FOLD).split()
-        seen = set(words)
+        seen = {w.replace(b"licence", b"license") for w in set(words)}
         tried = [r for w in self.words & seen for r in self.by_word[w] if r[4] <= seen]
         if not tried and b"license" not in seen:  # which every base phrase holds
             return len(words), 0, None, None, "", "", 0.0, []

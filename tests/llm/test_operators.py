@@ -228,3 +228,10 @@ def test_cards_beside_other_numbers(spark):
     assert [got[i].text for i in (0, 1, 2)] == [f"{new} 123", f"{new} 12/27", f"item 5 {new}"] and new != card
     assert got[3].text.replace(" ", "") == new + "123" and all(got[i].n_found == {"card": 1} for i in range(5))
     assert got[5].text == "4068516892505469 123"
+
+
+def test_licences_in_british_spelling():
+    s = licenses.Scanner()
+    for text in (b"the MIT licence", b"GNU General Public Licence", b"licensed under the Apache Licence, Version 2.0"):
+        ours, theirs = s.scan(text), s.scan(text.replace(b"icence", b"icense"))
+        assert ours[7] == theirs[7] and ours[7] and ours[6] > 0  # base phrases, kept as spelt, add to theirs
