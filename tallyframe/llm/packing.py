@@ -19,35 +19,44 @@ memory is bounded by that and its longest document.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize
+from .common import forget, materialize, slices, text_bytes
 
 LENGTH, END, SHARD_BYTES = 2048, 1, 6_000_000
 K1, B = 1.2, 0.75
 #: Numbers in a sketch; documents for each leaf from which the cuts are drawn (every document is dealt by them).
 SKETCH, LEAF_SAMPLE = 128, 48
-#: Words kept per worker; candidates for the mark between words; what ``str.split`` takes for white space and the tokenizer does not.
-KEPT_WORDS, MARKS, ODD = 1_000_000, "\u00a4\u00b6\u00a7|~", "\x1c\x1d\x1e\x1f"
+#: Pieces of words, and words not cut into pieces, kept per worker; bytes of text encoded at a time.
+KEPT_WORDS, TEXT_BYTES = 1_000_000, 4 << 20
+#: Letters that every version of Unicode lower-cases alike, then ASCII marks: what
+#: the tokenizer splits into two pieces.  Other words are handed to it whole.
+_PLAIN = "^(?P<letters>[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 _tokenizers: dict = {}
-_words: dict[str, bytes] = {}
+_known: dict[str, bytes] = {"": b""}
 
 
 def _load(path: str):
-    """(tokenizer, mark, id of the mark); a mark is one id wherever it stands alone."""
+    """(tokenizer, whether each id ends a piece; None if the model does not mark ends)."""
     if path not in _tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        ids = {c: tok.encode(c, add_special_tokens=False).ids for c in MARKS}
-        _tokenizers[path] = (tok, *next(((c, i[0]) for c, i in ids.items() if len(i) == 1), (None, None)))
+        suffix = getattr(tok.model, "end_of_word_suffix", None)
+        ends = None
+        if suffix and json.loads(tok.to_str())["pre_tokenizer"]:
+            ends = np.array([(tok.id_to_token(i) or "").endswith(suffix) for i in range(tok.get_vocab_size())])
+        _tokenizers[path] = (tok, ends)
     return _tokenizers[path]
 
 
@@ -55,57 +64,95 @@ def _raw(ids: list[int]) -> bytes:
     return np.array(ids, np.uint32).tobytes()
 
 
-def _encode_words(path: str, words: list[str]) -> None:
-    """Put the ids of each word in ``_words``.  Words go to the tokenizer in runs
-    with a mark between; words that hold the mark go alone."""
-    tok, mark, mark_id = _load(path)
-    alone = [w for w in words if mark is None or mark in w]
-    plain = [w for w in words if mark is not None and mark not in w]
-    runs = [plain[a : a + 256] for a in range(0, len(plain), 256)]
+def _encode_pieces(path: str, pieces: list[str]) -> None:
+    """Put the ids of each piece in ``_known``; pieces go to the tokenizer in
+    runs, and are told apart by the ids that end one."""
+    tok, ends = _load(path)
+    runs = [pieces[a : a + 256] for a in range(0, len(pieces), 256)]
     for a in range(0, len(runs), 64):
         part = runs[a : a + 64]
-        for run, e in zip(part, tok.encode_batch_fast([f" {mark} ".join(r) for r in part], add_special_tokens=False), strict=True):
+        for run, e in zip(part, tok.encode_batch_fast([" ".join(r) for r in part], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            cut = np.flatnonzero(ids == mark_id)
-            if len(cut) != len(run) - 1:
-                alone += run
+            cut = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+            if len(cut) != len(run) or cut[-1] != 4 * len(ids):
+                _encode_alone(path, run)
                 continue
             raw = ids.tobytes()
-            for w, s, t in zip(run, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(raw)], strict=True):
-                _words[w] = raw[s:t]
-    for a in range(0, len(alone), 4096):
-        part = alone[a : a + 4096]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _words[w] = _raw(e.ids)
-
-
-def _encode(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text.  The tokenizer drops white space and never joins across
-    it, so distinct chunks between white space are encoded once and kept."""
-    odd = {i for i, t in enumerate(texts) if any(c in t for c in ODD)}
-    split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-    new = list({w for ws in split for w in ws if w not in _words})
-    if len(_words) + len(new) > KEPT_WORDS:
-        _words.clear()
-        new = list({w for ws in split for w in ws})
-    _encode_words(path, new)
-    out = [b"".join(map(_words.__getitem__, ws)) for ws in split]
-    for i in odd:
-        out[i] = _raw(_load(path)[0].encode(texts[i], add_special_tokens=False).ids)
-    return out
+            for p, s, t in zip(run, [0, *cut[:-1]], cut, strict=True):
+                _known[p] = raw[s:t]
 
 
-def _tokens(path: str):
-    tail = np.array([END], np.uint32).tobytes()
+def _encode_alone(path: str, words: list[str]) -> None:
+    for a in range(0, len(words), 4096):
+        part = words[a : a + 4096]
+        for w, e in zip(part, _load(path)[0].encode_batch_fast(part, add_special_tokens=False), strict=True):
+            _known[w] = _raw(e.ids)
+
+
+def _look_up(path: str, words: list[str], encode) -> list[bytes]:
+    new = [w for w in words if w not in _known]
+    if len(_known) + len(new) > KEPT_WORDS:
+        _known.clear()
+        _known[""] = b""
+        new = [w for w in words if w]
+    encode(path, new)
+    return [_known[w] for w in words]
+
+
+def _joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each row)."""
+    return np.frombuffer(b"".join(rows), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
 
+def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each).
+
+    The tokenizer drops white space and never joins across it, so the distinct
+    words of the texts are found by Arrow, and the distinct pieces of those are
+    encoded once and kept.  Texts with \\x1c to \\x1f, white space to Arrow
+    alone, go to the tokenizer whole.
+    """
+    n = len(texts)
+    odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False)
+    split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+    words = split.flatten().dictionary_encode()
+    which, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+    per_text = split.value_lengths().to_numpy().astype(np.int64)
+    cut = pc.extract_regex(distinct, _PLAIN)
+    plain = cut.is_valid().to_numpy(zero_copy_only=False) & (_load(path)[1] is not None)
+    letters, marks = (pc.struct_field(cut, i).filter(pa.array(plain)) for i in (0, 1))
+    pieces = pa.concat_arrays([pc.utf8_lower(letters), marks]).dictionary_encode()
+    rows = _look_up(path, pieces.dictionary.to_pylist(), _encode_pieces) + _look_up(path, distinct.filter(pa.array(~plain)).to_pylist(), _encode_alone)
+    rows += [_raw(_load(path)[0].encode(t, add_special_tokens=False).ids) for t in texts.filter(pa.array(odd)).to_pylist()] + [b""]
+    ids, size = _joined(rows)
+    # a word is two rows: letters and marks, or itself and nothing
+    k, at = len(pieces.dictionary), pieces.indices.to_numpy()
+    parts = np.full((len(distinct), 2), len(rows) - 1, np.int64)
+    parts[plain] = at.reshape(2, -1).T
+    parts[~plain, 0] = k + np.arange(len(distinct) - plain.sum())
+    order = parts[which].ravel()
+    ends = 2 * np.cumsum(per_text)
+    # odd texts are a row of their own
+    order = np.insert(order, ends[odd], len(rows) - 1 - odd.sum() + np.arange(odd.sum()))
+    ends = ends + np.cumsum(odd)
+    many, start = size[order], np.cumsum(size) - size
+    done = np.r_[0, np.cumsum(many)]
+    out = ids[np.repeat(start[order] - done[:-1], many) + np.arange(done[-1])]
+    return out, np.diff(np.r_[0, done[ends]])
+
+
+def _tokens(path: str):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for a in range(0, len(batch), 512):
-                part = [t or "" for t in texts.slice(a, 512).to_pylist()]
-                rows = [np.frombuffer(t + tail, np.uint32) for t in _encode(path, part)]
-                kept = [(r.astype(np.uint16) if r.max() < 65536 else r).tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 512), pa.array([len(r) for r in rows], pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            ids, texts = batch.column("doc_id"), batch.column("text").fill_null("")
+            _, offs = text_bytes(texts)
+            for a, b in slices(offs, TEXT_BYTES):
+                flat, n = _encode(path, texts.slice(a, b - a))
+                flat, n = np.insert(flat, np.cumsum(n), END), n + 1
+                flat = flat.astype(np.uint16) if flat.max() < 65536 else flat
+                cut = np.r_[0, np.cumsum(n) * flat.itemsize]
+                kept = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), kept], ["doc_id", "doc_tokens", "ids"])
 
     return run
 
