@@ -3,7 +3,7 @@
 A document's set is ordered by one order for the whole corpus: n-grams outside
 the table of frequent ones first, by hash, then the frequent ones, rarest
 first.  Two sets that meet the threshold share an n-gram among the first
-``n - ceil(t * n) + 1`` of either (the top level of a tree of all sets), which
+``n - ceil(t * n) + 1`` of either (the top levels of a tree of all sets), which
 is where candidates come from.  Candidates of one leader are put in a tree and
 walked with the leader's set: sets that begin alike share their partial
 overlap, and a branch ends where the n-grams that remain cannot reach the
@@ -11,16 +11,24 @@ threshold.
 
 * Documents with equal sets become one class first (a sum of hashes; no group
   is gathered).
-* Round 1 tests each class against the one leader it shares most first n-grams
-  with.  That is linear in the input, and joins what near copies there are.
-* Round 2 tests every pair left that shares a first n-gram, passes the length
-  and position bounds and is not yet in one component.  A pair skipped because
-  it is in one component already cannot change a component, so the components
-  are exact.
-
-The frequent n-grams are counted over all documents (per Arrow batch, then
-summed) and are at most FREQUENT entries; the table only sets the order, so
-what it misses costs time, not results.
+* First n-grams travel as 15 bytes each (ROW), packed by the route they take; a
+  route holds about ROUTE n-grams.  The routes return those that two classes
+  share.
+* Rounds 1 and 2 test each class against the one leader it shares most first
+  n-grams with; an n-gram's leader is the class whose first n-grams are shared
+  most widely (the text that a group's copies come from), then the class that
+  has it earliest.  They are linear in the input, and join most near copies.
+* Round 3 tests every pair left that shares enough first n-grams, passes the
+  length and position bounds and is not yet in one component.  A pair skipped
+  because it is in one component already cannot change a component, so the
+  components are exact.
+* Whole texts of the classes that share anything are fetched once; a test makes
+  the sets again from the texts, which are smaller than the sets.
+
+The frequent n-grams are counted over all documents (per slice, then summed) and
+are at most FREQUENT entries; the table only sets the order, so what it misses
+costs time, not results.  An n-gram of more than a quarter of a route is dealt
+to several, whose rows come together again in the rounds.
 """
 
 from __future__ import annotations
@@ -30,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, materialize, text_bytes
+from .common import components, forget, materialize, slices, text_bytes, text_key
 from .repeats import _rolling, mix
 
-FREQUENT, SLICES = 1 << 18, 2
+FREQUENT, ROUTE = 1 << 18, 1 << 20
+#: A first n-gram on its way: 48 bits of it, its class, the share of the set from its place on.
+ROW = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<i8"), ("rest", "u1")])
 HEAVY = np.uint64(1 << 63)
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -98,22 +108,29 @@ def _signature(s: np.ndarray) -> int:
         return int(mix(mix(s + _STEP[2]).sum(dtype=_U) + _U(len(s))).view(np.int64))
 
 
+def _set_slices(batches, size: int, limit: int):
+    """(part of a batch, its sets), a bounded number of bytes of text at a time."""
+    for batch in batches:
+        x, offs = text_bytes(batch.column("text"))
+        for a, b in slices(offs, limit):
+            yield batch.slice(a, b - a), shingle_sets(x[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
+
+
 def _sum_up(size: int):
-    """A row per document (kind 0) and per n-gram that a batch holds in 3 sets or more (kind 1)."""
+    """A row per document (kind 0) and per n-gram that a slice holds in 3 sets or more (kind 1)."""
 
     def run(batches):
-        for batch in batches:
-            sets = shingle_sets(*text_bytes(batch.column("text")), size)
+        for part, sets in _set_slices(batches, size, 4 << 20):
             n = np.array([len(s) for s in sets], np.int64)
             sig = np.array([_signature(s) for s in sets], np.int64)
             zero = np.zeros(len(n), np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(zero), batch.column("doc_id"), pa.array(sig), pa.array(n)], ["kind", "doc_id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(zero), part.column("doc_id"), part.column("tk"), pa.array(sig), pa.array(n)], ["kind", "doc_id", "tk", "key", "n"])
             one = np.unique(sig, return_index=True)[1]
-            if len(one):
-                grams, count = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
-                often = count >= 3
-                grams, count = grams[often].view(np.int64), count[often].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), np.int8)), pa.nulls(len(grams), pa.int64()), pa.array(grams), pa.array(count)], ["kind", "doc_id", "key", "n"])
+            grams, count = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
+            often = count >= 3
+            grams, count = grams[often].view(np.int64), count[often].astype(np.int64)
+            none = pa.nulls(len(grams), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), np.int8)), none, none, pa.array(grams), pa.array(count)], ["kind", "doc_id", "tk", "key", "n"])
 
     return run
 
@@ -129,12 +146,19 @@ def ordered(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray
     return keys
 
 
-def _prefixes(size: int, percent: int, shared):
+def _hashed(t: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(t * _STEP[1]) ^ _STEP[3])
+
+
+def _routed(size: int, percent: int, routes: int, shared):
+    """First n-grams of each set, packed by route: (route, rows)."""
+
     def run(batches):
-        frequent, rank = shared.value
-        for batch in batches:
-            keys, cls, sizes, pos, seen = [], [], [], [], set()
-            for s in shingle_sets(*text_bytes(batch.column("text")), size):
+        frequent, rank, hot, deals = shared.value
+        for _, sets in _set_slices(batches, size, 16 << 20):
+            keys, cls, rest, seen = [], [], [], set()
+            for s in sets:
                 sig = _signature(s)
                 if not len(s) or sig in seen:
                     continue
@@ -142,25 +166,64 @@ def _prefixes(size: int, percent: int, shared):
                 p = len(s) + (-percent * len(s)) // 100 + 1
                 keys.append(ordered(s, frequent, rank)[:p])
                 cls.append(np.full(p, sig, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-                pos.append(np.arange(p, dtype=np.int32))
-            if keys:
-                cols = [np.concatenate(keys).view(np.int64), *map(np.concatenate, (cls, sizes, pos))]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["t", "cls", "n", "pos"])
+                rest.append((255 * (len(s) - np.arange(p)) + len(s) - 1) // len(s))
+            if not keys:
+                continue
+            t, rows = np.concatenate(keys), np.empty(sum(map(len, keys)), ROW)
+            h = _hashed(t)
+            rows["low"], rows["high"], rows["cls"], rows["rest"] = h & _U(0xFFFFFFFF), (h >> _U(32)) & _U(0xFFFF), np.concatenate(cls), np.concatenate(rest)
+            salt = np.zeros(len(t), _U)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
+                many = hot[at] == t
+                salt[many] = _hashed(rows["cls"][many].view(_U)) % deals[at[many]]
+            with np.errstate(over="ignore"):
+                # a salted one carries its mark in the route, so that it is shared though alone there
+                route = (mix((h >> _U(4)) + salt * _STEP[2]) % _U(routes)).astype(np.int64) * 2 + (many if len(hot) else 0)
+            order = np.argsort(route, kind="stable")
+            route, rows = route[order], rows[order]
+            cut = np.flatnonzero(np.diff(route)) + 1
+            ends = np.r_[0, cut, len(rows)]
+            data = [rows[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(route[ends[:-1]]), pa.array(data, pa.binary())], ["route", "rows"])
 
     return run
 
 
-def _sets(size: int, shared):
-    def run(batches):
-        frequent, rank = shared.value
-        for batch in batches:
-            sets = shingle_sets(*text_bytes(batch.column("text")), size)
-            rows = [ordered(s, frequent, rank).tobytes() for s in sets]
-            sig = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(s) for s in sets], pa.int32()), pa.array(rows, pa.binary()), pa.array(sig, pa.int64())], ["cls", "n", "keys", "sig"])
-
-    return run
+def _meet(batches):
+    """Rows come sorted by route.  For each n-gram that two classes share, a row
+    for each class (kind 0: t, cls, rest); and for each class how many others its
+    n-grams of the route are shared with, in total (kind 1: cls, rest)."""
+
+    def met(route: int, held: list):
+        rows = np.concatenate([np.frombuffer(h, ROW) for h in held])
+        t = rows["low"].astype(np.int64) | rows["high"].astype(np.int64) << 32
+        cls, rest = rows["cls"].astype(np.int64), rows["rest"].astype(np.int64)
+        order = np.lexsort((cls, t))
+        t, cls, rest = t[order], cls[order], rest[order]
+        one = np.r_[True, (np.diff(t) != 0) | (np.diff(cls) != 0)]  # copies of a text come from several slices
+        t, cls, rest = t[one], cls[one], rest[one]
+        new = np.r_[True, np.diff(t) != 0]
+        group = np.cumsum(new) - 1
+        other = np.bincount(group, cls != cls[np.flatnonzero(new)][group]) > 0
+        many = np.bincount(group)[group]
+        keep = other[group] if route % 2 == 0 else np.ones(len(t), bool)
+        t, cls, rest, many = t[keep], cls[keep], rest[keep], many[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(t), np.int8)), pa.array(t), pa.array(cls), pa.array(rest)], ["kind", "t", "cls", "rest"])
+        cls, own = np.unique(cls, return_inverse=True)
+        total = np.bincount(own, many - 1).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(cls), np.int8)), pa.nulls(len(cls), pa.int64()), pa.array(cls), pa.array(total)], ["kind", "t", "cls", "rest"])
+
+    now, held = None, []
+    for batch in batches:
+        for route, rows in zip(batch.column("route").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            if route != now and held:
+                yield from met(now, held)
+                held = []
+            now = route
+            held.append(rows)
+    if held:
+        yield from met(now, held)
 
 
 class PrefixTree:
@@ -215,23 +278,21 @@ class PrefixTree:
         return True
 
 
-def _verify(percent: int):
-    """Rows come sorted by leader and part, the leader's own set first."""
+def _verify(percent: int, size: int, shared):
+    """Rows (a, part, b, text) come sorted by leader and part, the leader's own text first."""
 
     def run(batches):
+        frequent, rank, *_ = shared.value
         now, probe = None, None
-        for batch in batches:
-            lead, part = batch.column("a").to_numpy(), batch.column("part").to_numpy()
-            me, data = batch.column("b").to_numpy(), batch.column("keys")
+        for block, sets in _set_slices(batches, size, 2 << 20):
+            lead, part, me = (block.column(c).to_numpy() for c in ("a", "part", "b"))
+            sets = [ordered(s, frequent, rank) for s in sets]
             cut = np.flatnonzero((np.diff(lead) != 0) | (np.diff(part) != 0)) + 1
             u, v = [], []
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(lead)], strict=True):
-                if a == b:
-                    continue
-                sets = [np.frombuffer(data[i].as_buffer(), _U) for i in range(a, b)]
                 if (lead[a], part[a]) != now:
-                    now, probe, sets, a = (lead[a], part[a]), sets[0].copy(), sets[1:], a + 1
-                for i in PrefixTree(sets).linked(probe, percent):
+                    now, probe, a = (lead[a], part[a]), sets[a], a + 1
+                for i in PrefixTree(sets[a:b]).linked(probe, percent) if a < b else ():
                     u.append(lead[a + i])
                     v.append(me[a + i])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -239,14 +300,28 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, size: int, shared) -> DataFrame:
     """The pairs (a, b) that meet the threshold, as (u, v).  Leaders with many
-    partners are dealt to several tasks, with a copy of their set in each."""
-    own = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "keys")
+    partners are dealt to several tasks, with a copy of their text in each."""
+    own = texts.select(F.col("cls").alias("b"), "text")
     rows = pairs.withColumn("part", F.when(F.col("many") > 512, F.pmod(F.xxhash64("b"), F.col("many") / 256).cast("int")).otherwise(0))
-    heads = rows.select("a", "part").distinct().join(own.withColumnRenamed("b", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "keys")
-    rows = rows.join(own, "b").select("a", "part", F.lit(1).alias("kind"), "b", "keys")
-    return heads.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(_verify(percent), "u long, v long")
+    heads = rows.select("a", "part").distinct().hint("merge").join(own.withColumnRenamed("b", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    rows = rows.hint("merge").join(own, "b").select("a", "part", F.lit(1).alias("kind"), "b", "text")
+    return heads.union(rows).repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(_verify(percent, size, shared), "u long, v long")
+
+
+def _fits(na, nb, percent: int):
+    """The smaller set is large enough for the larger one."""
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+
+def _shares(na, nb, percent: int):
+    """Least number of first n-grams that two linked sets share.
+
+    Of the two, let A be the one whose first n-grams end earlier in the order:
+    what it shares beyond them is at most the rest of it, ceil(t * na) - 1."""
+    least = F.ceil((na + nb) * percent / (100 + percent))
+    return F.greatest(least - F.ceil(F.greatest(na, nb) * percent / 100) + 1, F.lit(1))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -262,78 +337,71 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     unless all its rows lack one.  Empty table: empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_sum_up(size), "kind byte, doc_id long, key long, n long"), "sums")
-    each = rows.where("kind = 0").select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("cls"), F.col("n").alias("n_shingles"))
-    often = rows.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    grams = often.key.to_numpy(np.int64).view(_U)
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tk"))
+    rows = materialize(docs.mapInArrow(_sum_up(size), "kind byte, doc_id long, tk long, key long, n long"), "sums")
+    each = rows.where("kind = 0").select("doc_id", "tk", F.when(F.col("n") > 0, F.col("key")).alias("cls"), F.col("n").alias("n_shingles"))
+    counts = rows.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 8")
+    often = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    grams, many = often.key.to_numpy(np.int64).view(_U), often.n.to_numpy(np.int64)
     rank = np.arange(len(grams), 0, -1).astype(_U)
+    hot = np.sort(HEAVY + rank[many > ROUTE // 4])
+    deals = (many // (ROUTE // 4) + 1)[: len(hot)][::-1].astype(_U)  # both by rank
     by_hash = np.argsort(grams)
-    shared = spark.sparkContext.broadcast((grams[by_hash], rank[by_hash]))
-
-    first = docs.select("text").mapInArrow(_prefixes(size, percent, shared), "t long, cls long, n int, pos int")
-    prefixes = materialize(first, "prefixes")
-    # leader of an n-gram: the class that has it earliest in its order
-    pack = F.shiftleft(F.least("pos", F.lit(65535)).cast("long"), 47).bitwiseOR(F.col("cls").bitwiseAND(F.lit((1 << 47) - 1)))
-    first = prefixes.withColumn("pack", pack)
-    by = Window.partitionBy("t")
-    light = first.where("t >= 0").select("*", F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"), F.min("pack").over(by).alias("lead")).where("lo <> hi").drop("lo", "hi")
-    heavy = first.where("t < 0")
-    heavy = heavy.join(heavy.groupBy("t").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("pack").alias("lead")).where("lo <> hi").select("t", "lead"), "t")
-    common = materialize(light.unionByName(heavy), "shared-prefixes")
-    forget(prefixes)
-
-    reps = each.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        # any text of the class will do: the smallest id leads to one
-        ids = wanted.join(reps, "cls").withColumnRenamed("rep", "doc_id")
-        texts = docs.join(ids, "doc_id").select("cls", "text")
-        made = texts.mapInArrow(_sets(size, shared), "cls long, n int, keys binary, sig long")
-        # a set made twice, for rows that repeat an id, gives its links twice
-        return materialize(made.where("cls = sig").drop("sig"), "sets")
-
-    def test(pairs: DataFrame, label: str) -> DataFrame:
-        # in slices by leader, so that only a part of the sets is on disk at a time
-        out = None
-        for k in range(SLICES):
-            part = pairs.where(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k)
-            sets = sets_of(part.select(F.col("a").alias("cls")).union(part.select("b")).distinct())
-            found = materialize(_links(part, sets, percent), label)
-            forget(sets)
-            out = found if out is None else out.union(found)
-        return out
-
-    heads = common.where("pack = lead").select("t", F.col("cls").alias("a"), F.col("n").alias("na")).distinct()
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    star = common.select("t", F.col("cls").alias("b"), F.col("n").alias("nb")).join(heads, "t").where("a <> b").where(fits)
-    star = star.groupBy("a", "b").count()
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-    crowd = best.groupBy("a").agg(F.count("*").alias("many"))
-    tested = materialize(best.join(crowd, "a").select("a", "b", "many"), "round-1")
-    found = test(tested, "links-1")
-    groups = materialize(components(found), "groups-1")
-
-    left = common.join(groups, F.col("cls") == F.col("node"), "left").select("t", "cls", "n", "pos", F.coalesce("component", "cls").alias("g"))
-    open_ = left.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
-    left = materialize(left.join(open_, "t").distinct(), "open")
-    x, y = left.toDF("t", "a", "na", "pa", "ga"), left.toDF("t", "b", "nb", "pb", "gb")
-    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    # had they no common n-gram before this one, so much could still be common
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = x.join(y, "t").where("ga <> gb and a < b").where(fits).where(reach >= least).select("a", "b").distinct()
-    pairs = pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "round-2")
+    shared = spark.sparkContext.broadcast((grams[by_hash], rank[by_hash], hot, deals))
+
+    reps = each.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("at"), F.first("n_shingles").alias("n"))
+    reps = materialize(reps.select("cls", "n", F.col("at.doc_id").alias("rep"), "at.tk"), "classes")
+    first = (reps.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0) // ROUTE + 1
+    routed = docs.select("text").mapInArrow(_routed(size, percent, int(first), shared), "route long, rows binary")
+    met = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_meet, "kind byte, t long, cls long, rest long")
+    met = materialize(met, "met")
+    # how widely a class's first n-grams are shared: most for the text that a group's copies come from
+    wide = met.where("kind = 1").groupBy("cls").agg(F.sum("rest").alias("wide")).join(reps, "cls")
+    wide = materialize(wide.select("cls", "n", "rep", F.col("tk").alias("key"), (F.col("wide") / (F.floor(F.col("n") * (100 - percent) / 100) + 1)).alias("wide")), "sharers")
+    common = materialize(met.where("kind = 0").join(wide.select("cls", "n", "wide").hint("merge"), "cls").select("t", "cls", "n", "rest", "wide", F.col("cls").alias("g")), "common")
+    forget(met)
+
+    # one text of each class that shares an n-gram; rows that repeat an id and a text give their links again
+    needed = wide.select("cls", "rep", "key").hint("merge")
+    texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tk") == F.col("key"))).select("cls", "text")
+    texts = materialize(texts, "texts")
+
+    tested = found = None
+    for leads in (F.struct("wide", "cls"), F.struct("rest", "cls")):
+        lead = common.groupBy("t").agg(F.max_by(F.struct("cls", "n", "g"), leads).alias("a"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
+        star = common.join(lead.select("t", "a"), "t").where("g <> a.g").where(_fits(F.col("a.n"), F.col("n"), percent))
+        star = star.groupBy(F.col("a.cls").alias("a"), F.col("cls").alias("b"), F.col("a.n").alias("na"), F.col("n").alias("nb")).count()
+        star = star.where(F.col("count") >= _shares(F.col("na"), F.col("nb"), percent))
+        if tested is not None:
+            star = star.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
+        best = star.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        asked = materialize(best.join(best.groupBy("a").agg(F.count("*").alias("many")), "a").select("a", "b", "many"), "asked")
+        links = materialize(_links(asked, texts, percent, size, shared), "links")
+        tested, found = (asked, links) if tested is None else (tested.union(asked), found.union(links))
+        groups = materialize(components(found), "groups")
+        left = common.drop("g").join(groups.hint("merge"), F.col("cls") == F.col("node"), "left").select("t", "cls", "n", "rest", "wide", F.coalesce("component", "cls").alias("g"))
+        open_ = left.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
+        left = materialize(left.join(open_, "t"), "open")
+        forget(common, groups)
+        common = left
+
+    x, y = (common.select("t", F.col("cls").alias(k), F.col("n").alias("n" + k), F.col("rest").alias("r" + k), F.col("g").alias("g" + k)).distinct() for k in "ab")
+    pairs = x.join(y, "t").where("ga <> gb and a < b").where(_fits(F.col("na"), F.col("nb"), percent))
+    # had they no common n-gram before the first that they share, so much could still be common
+    reach = F.least(F.ceil(F.col("na") * F.col("ra") / 255), F.ceil(F.col("nb") * F.col("rb") / 255))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("count"), F.max(reach).alias("reach"))
+    pairs = pairs.where(F.col("count") >= _shares(F.col("na"), F.col("nb"), percent)).where(F.col("reach") >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
+    pairs = pairs.select("a", "b").join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "pairs")
     crowd = pairs.groupBy("a").agg(F.count("*").alias("many"))
-    found = found.union(test(pairs.join(crowd, "a").select("a", "b", "many"), "links-2"))
-    found = materialize(found, "links")
-    forget(pairs, left, common)
+    found = found.union(materialize(_links(pairs.join(crowd, "a").select("a", "b", "many"), texts, percent, size, shared), "links"))
 
-    groups = components(found)
-    least_id = groups.join(reps, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("least_id"))
+    both = components(found)
+    least_id = both.join(reps, F.col("node") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("least_id"))
     degree = found.select("u").union(found.select("v")).groupBy("u").count()
-    classes = reps.join(groups, F.col("cls") == F.col("node"), "left").join(least_id, "component", "left").join(degree, F.col("cls") == F.col("u"), "left")
-    classes = classes.select("cls", F.coalesce("least_id", "rep").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links"))
+    classes = reps.join(both, F.col("cls") == F.col("node"), "left").join(least_id, "component", "left").join(degree, F.col("cls") == F.col("u"), "left")
+    classes = materialize(classes.select("cls", F.coalesce("least_id", "rep").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links")), "groups-2")
+    forget(common, pairs, texts, wide)
     linked = each.where("cls is not null").join(classes, "cls")
     alone = each.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.select("doc_id", "n_shingles", "component_id", "n_links").union(alone)

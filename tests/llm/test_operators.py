@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyframe.llm import licenses, mixing, ordinal, packing, pages, pseudonyms, repeats, rules, shingles, vectors
@@ -38,7 +39,21 @@ def test_repeats(spark):
     assert repeats.remove_repeats(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_jaccard(spark):
+def test_repeats_in_long_texts_without_hot_strings(spark, monkeypatch):
+    """Texts over CHUNK are scanned in overlapping parts; no string counts as hot."""
+    monkeypatch.setattr(repeats, "HOT", 1)
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2 * repeats.CHUNK + 1000))
+    other = "".join(rng.choice("ijklmnop ") for _ in range(3000))
+    at = repeats.CHUNK - 250
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs_of(spark, [(1, text), (2, other[:1000] + text[at : at + 700] + other[1000:]), (3, other)])).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (700, 1) and got[1].kept_text == text[:at] + text[at + 700 :]
+    assert got[2].n_removed == 3700 and got[3].n_removed == 3000 and got[3].kept_text == ""
+
+
+@pytest.mark.parametrize("route", [1 << 20, 64])
+def test_jaccard(spark, monkeypatch, route):
+    monkeypatch.setattr(shingles, "ROUTE", route)  # 64: many routes, and n-grams dealt to several
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
     rows = []
@@ -51,6 +66,8 @@ def test_jaccard(spark):
     shared = words(60)
     rows += [" ".join(words(rng.randint(5, 80)) + shared) for _ in range(20)] + ["", " ", None, "A b", "a B", "x"]
     rows = list(enumerate(rows))
+    bridge = [f"b{k}" for k in range(200)]
+    rows += [(900, " ".join(bridge)), (901, " ".join(bridge[:-12] + ["z"] * 12)), (902, " ".join(bridge[20:-24] + ["y"] * 44))]
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
@@ -61,7 +78,14 @@ def test_jaccard(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     got = shingles.jaccard_components(docs_of(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == [(i, len(s), int(root[i])) for i, s in enumerate(sets)]
+    assert sorted(map(tuple, got)) == [(rows[i][0], len(s), rows[int(root[i])][0]) for i, s in enumerate(sets)]
+
+
+def test_jaccard_links_rows_without_id(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(7, " ".join(words)), (None, " ".join(words[:-1])), (9, " ".join(words[:-1] + ["x"])), (None, None), (3, "lone words that link with nothing at all")]
+    got = shingles.jaccard_components(docs_of(spark, rows)).collect()
+    assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(0, -1), (4, 3), (195, 7), (196, 7), (196, 7)]
 
 
 def test_prefix_tree_finds_all():
@@ -109,7 +133,7 @@ def test_licenses():
 
 def test_pseudonyms(spark):
     rows = [(0, "a.1@mail5.example.com 4068516892505468 4068516892505469"), (1, "+1 (136) 555-7479 1.2.3.4 300.1.1.1"), (2, None), (3, ""), (4, "4068516892505468 on 2024-02-29")]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows), "k").collect()}
     assert got[2].text is None and got[3].text == "" and got[0].n_found == {"email": 1, "card": 1}
     assert "4068516892505469" in got[0].text and "300.1.1.1" in got[1].text and "1.2.3.4" not in got[1].text
     assert got[0].text.split()[1] == got[4].text.split()[0] != "4068516892505468"
@@ -164,7 +188,7 @@ def test_grades_are_ordered():
     assert [round(expected[grade == g].mean()) for g in range(3)] == [0, 1, 2] and (np.diff(model.theta) >= 0).all()
 
 
-@pytest.mark.parametrize("f", [repeats.remove_repeats, shingles.jaccard_components, pseudonyms.pseudonymise, licenses.scan_licenses])
+@pytest.mark.parametrize("f", [repeats.remove_repeats, shingles.jaccard_components, lambda d: pseudonyms.pseudonymise(d, "k"), licenses.scan_licenses])
 def test_empty_table(spark, f):
     assert f(docs_of(spark, [(1, "a")]).where("doc_id = 0")).count() == 0
 
@@ -178,8 +202,10 @@ def test_words_in_runs_have_the_ids_of_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = ["", " \t", "a\x1cb c\x1f", "|a| || ~ ¤ x", "it's CAN'T", "é ́x", "a b　c\x85d", "w" * 5000, "same same"]
     whole = Tokenizer.from_file(path)
-    for text, raw in zip(texts, _encode(path, texts), strict=True):
-        assert np.frombuffer(raw, np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts += ["Größe,%%% ÀÉ!", "a\u0301 e\u0301É", "x\u0130 İ ß ſ µ ª", "<|endoftext|> a<|endoftext|>b", "_a_ [b]c^ `d` {e}~", "don't 'S 12a3", "x\x1fy", "\u2028z\u00a0q\u200bq"]
+    ids, n = _encode(path, pa.array(texts))
+    for text, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing_keeps_copies_together_in_many_shards(spark):
@@ -214,7 +240,7 @@ def test_packing_asks_for_all_terms():
 def test_pseudonyms_without_digits(spark):
     secrets = ["password: correcthorsebattery", "passwd=abcdefgh", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "abcdefabcd" * 4, "ABCDEFABCD" * 4]
     rows = [(i, f"see {s} here") for i, s in enumerate(secrets)] + [(9, "a password is a word")]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows), "k").collect()}
     for i, s in enumerate(secrets):
         assert got[i].n_found == {"secret": 1} and s not in got[i].text
     assert got[9].text == "a password is a word" and got[9].n_found == {}
@@ -223,7 +249,7 @@ def test_pseudonyms_without_digits(spark):
 def test_cards_beside_other_numbers(spark):
     card = "4068516892505468"
     rows = [(0, f"{card} 123"), (1, f"{card} 12/27"), (2, f"item 5 {card}"), (3, "4068 5168 9250 5468 123"), (4, card), (5, "4068516892505469 123")]
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, rows), "k").collect()}
     new = got[4].text
     assert [got[i].text for i in (0, 1, 2)] == [f"{new} 123", f"{new} 12/27", f"item 5 {new}"] and new != card
     assert got[3].text.replace(" ", "") == new + "123" and all(got[i].n_found == {"card": 1} for i in range(5))
@@ -235,3 +261,13 @@ def test_licences_in_british_spelling():
     for text in (b"the MIT licence", b"GNU General Public Licence", b"licensed under the Apache Licence, Version 2.0"):
         ours, theirs = s.scan(text), s.scan(text.replace(b"icence", b"icense"))
         assert ours[7] == theirs[7] and ours[7] and ours[6] > 0  # base phrases, kept as spelt, add to theirs
+
+
+def test_pseudonyms_of_long_tokens_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, "x" * 1_000_000), (1, "a@b" + ".c" * 100_000), (2, "1." * 100_000), (3, "mail a.b@c-d.example.org. 000-00-0000 (000) 000-0000 123-45-6789"), (4, "word " * 200_000)]
+    docs = docs_of(spark, rows).withColumn("hits", F.lit(7)).withColumn("a.b", F.lit(8)).withColumn("N_found", F.lit(9))
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, "k").collect()}
+    assert [got[i].text for i in (0, 1, 2, 4)] == [rows[i][1] for i in (0, 1, 2, 4)]
+    assert got[3].n_found == {"email": 1, "number": 1} and "000-00-0000 (000) 000-0000" in got[3].text and got[3].hits == 7 and got[3]["a.b"] == 8
