@@ -77,6 +77,19 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+#: Bytes of text that a Python step works on at a time; a longer document goes alone.
+SLICE = 1 << 20
+
+
+def slices(offs: np.ndarray, limit: int = SLICE):
+    """(a, b): runs of whole documents offs[a:b + 1] of about ``limit`` bytes."""
+    a, n = 0, len(offs) - 1
+    while a < n:
+        b = max(int(np.searchsorted(offs, offs[a] + limit, "right")) - 1, a + 1)
+        yield a, b
+        a = b
+
+
 def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """Smallest index of each of 0..n-1's component under the edges (u, v)."""
     label = np.arange(n)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import slices, text_bytes
 from .shingles import _U, mix, word_hashes
 
 SAMPLE, BITS, FEATURES, SPARE = 12_000, 18, 4096, 0.005
@@ -106,12 +106,19 @@ def fit_grades(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, bits: int
     return Grades(weights, np.maximum.accumulate(p[len(used) :]))
 
 
+def _parts(batch):
+    """(part of the batch, its document and bucket pairs), a bounded number of bytes at a time."""
+    x, offs = text_bytes(batch.column("text"))
+    for a, b in slices(offs):
+        yield batch.slice(a, b - a), *buckets(x[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+
+
 def _gather(batches):
     for batch in batches:
-        doc, bucket = buckets(*text_bytes(batch.column("text")))
-        cut = np.searchsorted(doc, np.arange(len(batch) + 1))
-        rows = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(rows, pa.binary())], ["doc_id", "grade", "buckets"])
+        for part, doc, bucket in _parts(batch):
+            cut = np.searchsorted(doc, np.arange(len(part) + 1))
+            rows = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), pa.array(rows, pa.binary())], ["doc_id", "grade", "buckets"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spare: float = SPARE) -> Grades:
@@ -139,9 +146,9 @@ def _score(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            doc, bucket = buckets(*text_bytes(batch.column("text")))
-            tails = model.tails(model.latent(doc, bucket, len(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, 0]), pa.array(tails[:, -1] >= model.least)], ["doc_id", "expected_grade", "p_good", "p_clean", "kept"])
+            for part, doc, bucket in _parts(batch):
+                tails = model.tails(model.latent(doc, bucket, len(part)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, 0]), pa.array(tails[:, -1] >= model.least)], ["doc_id", "expected_grade", "p_good", "p_clean", "kept"])
 
     return run
 
