@@ -17,7 +17,8 @@ not its rank, and suffixes leave as soon as their fate is known:
 4. The blocks left are sorted to full depth, one row for each window.
 
 Counts are combined before each shuffle, so a string found in a third of all
-documents costs a row for each task.  Nothing is sampled or capped.
+documents costs a row for each task, and hot strings are joined apart.  Nothing
+is sampled or capped.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import forget, materialize, text_bytes, text_key
 
 DEPTH, SEED, BLOCK = 400, 256, 16
+#: A digit or text of more than 1 / HOT of all rows is hot: it is joined by broadcast (HOT rows at most), not gathered.
+HOT = 4096
 CHUNK = 1 << 16
 _U = np.uint64
 _POS = _U((1 << 22) - 1)
@@ -246,14 +249,18 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tk"))
     runs = docs.mapInArrow(_scan(depth, seed), "doc_id long, tk long, p long, shape int, g long, s1 long, s2 long")
     every = materialize(runs, "runs")
-    shared = every.groupBy("g").count().where("count > 1").select("g")
-    runs = materialize(every.join(shared, "g"), "repeated-runs")
+    rows = every.groupBy("g").agg(F.count("*").alias("rows"))
+    hot = materialize(rows.where(F.col("rows") > max(every.count() / HOT, 1)).select("g"), "hot-digits")  # HOT rows at most
+    shared = rows.where("rows > 1").join(F.broadcast(hot), "g", "left_anti").select("g")
+    runs = every.join(F.broadcast(hot), "g").union(every.join(F.broadcast(hot), "g", "left_anti").join(shared, "g").select("g", *[c for c in every.columns if c != "g"]))
+    runs = materialize(runs, "repeated-runs")
     forget(every)
-    kinds = materialize(runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n")), "distinct-runs")
+    kinds = materialize(runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "p", "shape")).alias("at")), "distinct-runs")
     # groups of the first digit whose runs differ, at least one of them unique
     mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("g")
-    asked = runs.join(kinds.join(mixed, "g").select("s1", "s2", (F.col("n") > 1).alias("many")), ["s1", "s2"])
-    asked = asked.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "tk", "p", "shape", "many")).alias("at")).select("at.doc_id", "at.tk", F.struct("s1", "s2", "at.p", "at.shape", "at.many").alias("run"))
+    of = lambda part, keys: part.join(keys, "g")
+    asked = of(kinds, F.broadcast(mixed.join(F.broadcast(hot), "g"))).union(of(kinds.join(F.broadcast(hot), "g", "left_anti"), mixed.join(F.broadcast(hot), "g", "left_anti")))
+    asked = asked.select("at.doc_id", "at.tk", F.struct("s1", "s2", "at.p", "at.shape", (F.col("n") > 1).alias("many")).alias("run"))
     asked = asked.groupBy("doc_id", "tk").agg(F.collect_list("run").alias("runs")).withColumnsRenamed({"doc_id": "id2", "tk": "tk2"})
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")))
     contexts = materialize(texts.select("text", "runs").mapInArrow(_contexts(depth), "s1 long, s2 long, far int, near int, many boolean, ctx binary"), "contexts")
@@ -268,12 +275,15 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
     windows = materialize(contexts.join(left, ["s1", "s2"]).mapInArrow(_pass(depth, 1), digits), "windows")
     part = windows.where("not many").join(again(windows), ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("b").alias("os"))
     whole = kinds.where("n > 1").select("s1", "s2", F.lit(None).cast("array<int>").alias("os"))
-    hit = runs.join(whole.union(part), ["s1", "s2"])
+    # a text that many runs share is found again without gathering those runs
+    often = F.broadcast(materialize(kinds.where(F.col("n") > max(runs.count() / HOT, 1)).select("s1", "s2"), "hot-runs"))  # HOT rows at most
+    hit = runs.join(often, ["s1", "s2"]).withColumn("os", F.lit(None).cast("array<int>"))
+    hit = hit.unionByName(runs.join(often, ["s1", "s2"], "left_anti").join(whole.join(often, ["s1", "s2"], "left_anti").union(part), ["s1", "s2"]))
     lo, hi = F.col("p") - F.floor(F.col("shape") / 4096), F.col("p") - F.col("shape") % 4096 + depth
     cover = F.when(F.col("os").isNull(), F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).otherwise(
         F.transform("os", lambda o: F.struct((F.col("p") - o).alias("lo"), (F.col("p") - o + depth).alias("hi")))
     )
-    found = hit.select("doc_id", "tk", cover.alias("c")).groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("c")).alias("found"))
+    found = hit.select("doc_id", "tk", cover.alias("c")).groupBy("doc_id", "tk").agg(F.flatten(F.collect_set("c")).alias("found"))
     found = materialize(found, "covered")
     forget(runs, kinds, contexts, cores, windows)
     return found
