@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, roots
@@ -54,8 +54,7 @@ class Codebook:
         self.cuts = np.linspace(0, self.dim, min(parts, self.dim) + 1).astype(int)
         rest = sample - self.centres[_nearest(sample, self.centres)]
         self.words = [_kmeans(rest[:, a:b], WORDS, rng, 5) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
-        gap = self.centres[:, None, :] - self.centres[None, :, :]
-        self.gap = np.sqrt((gap * gap).sum(2))
+        self.gap = np.stack([np.sqrt(((self.centres - c) ** 2).sum(1)) for c in self.centres])
 
     def encode(self, x: np.ndarray):
         """(list, codes, coding error) of each row."""
@@ -85,30 +84,46 @@ class Codebook:
 
 def _units(data, dim: int) -> np.ndarray:
     x = np.array(data.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1)[:, None]  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+class Books:
+    """A codebook for each length of vector, with lists numbered through."""
+
+    def __init__(self, samples: dict[int, np.ndarray], lists: dict[int, int]):
+        self.of, self.first, self.dim, at = {}, {}, {}, 0
+        for dim in sorted(samples):
+            self.of[dim], self.first[dim] = Codebook(samples[dim], lists[dim]), at
+            at += len(self.of[dim].centres)
+            self.dim.update(dict.fromkeys(range(self.first[dim], at), dim))
+
+    def split(self, batch):
+        """(length, codebook, its first list, part of the batch)."""
+        sizes = batch.column("v").value_lengths().to_numpy()
+        for dim in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == dim))
+            for a in range(0, len(part), 4096):
+                yield dim, self.of[dim], self.first[dim], part.slice(a, 4096)
+
+
 def _encode(shared):
     def run(batches):
-        book = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            near, codes, error = book.encode(_units(batch.column("v"), book.dim))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("many"), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), batch.column("v")], ["id", "many", "list", "code", "error", "v"])
+            for dim, book, first, part in shared.value.split(batch):
+                near, codes, error = book.encode(_units(part.column("v"), dim))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("many"), pa.array(first + near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), part.column("v")], ["id", "many", "list", "code", "error", "v"])
 
     return run
 
 
 def _probe(shared, reach: float):
     def run(batches):
-        book = shared.value
         for batch in batches:
-            for a in range(0, len(batch), 4096):
-                part = batch.slice(a, 4096)
-                row, at = book.probes(_units(part.column("v"), book.dim), part.column("list").to_numpy(), reach)
+            for dim, book, first, part in shared.value.split(batch):
+                row, at = book.probes(_units(part.column("v"), dim), part.column("list").to_numpy() - first, reach)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(part.column(c).take(take) for c in ("id", "many", "list", "v"))], ["at", "id", "many", "own", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(first + at, pa.int32()), *(part.column(c).take(take) for c in ("id", "many", "list", "v"))], ["at", "id", "many", "own", "v"])
 
     return run
 
@@ -117,12 +132,12 @@ def _match(shared, cosine: float):
     """Rows come sorted by list part, members (kind 0) before queries (kind 1)."""
 
     def run(batches):
-        book, now, members = shared.value, None, []
+        books, now, members = shared.value, None, []
         for batch in batches:
             at = np.column_stack([batch.column(c).to_numpy() for c in ("at", "part", "deal")])
             kind, ids, own = batch.column("kind").to_numpy(), batch.column("id").to_numpy(), batch.column("own").to_numpy()
             many, error = batch.column("many").to_numpy(), batch.column("error").to_numpy(zero_copy_only=False)
-            x, codes = _units(batch.column("v"), book.dim), batch.column("code")
+            v, codes = batch.column("v"), batch.column("code")
             cut = np.flatnonzero((np.diff(at, axis=0) != 0).any(1) | (np.diff(kind) != 0)) + 1
             a_, b_, c_ = [], [], []
             for s, e in zip(np.r_[0, cut], np.r_[cut, len(ids)], strict=True):
@@ -130,9 +145,11 @@ def _match(shared, cosine: float):
                     continue
                 if tuple(at[s]) != now:
                     now, members = tuple(at[s]), []
+                dim = books.dim[int(at[s, 0])]  # a list has one length
+                book, x = books.of[dim], _units(v.slice(s, e - s), dim)
                 if kind[s] == 0:
                     code = np.frombuffer(b"".join(codes[i].as_py() for i in range(s, e)), np.uint8).reshape(e - s, -1)
-                    members.append((ids[s:e], many[s:e], error[s:e], x[s:e], code))
+                    members.append((ids[s:e], many[s:e], error[s:e], x, code))
                     continue
                 if not members:
                     continue
@@ -143,13 +160,13 @@ def _match(shared, cosine: float):
                 step = max(1, (1 << 20) // len(mid))
                 for i in range(s, e, step):
                     j = min(i + step, e)
-                    q, m = np.nonzero(book.lookup(x[i:j], int(at[s, 0]), mcode) >= floor)
+                    q, m = np.nonzero(book.lookup(x[i - s : j - s], int(at[s, 0]) - books.first[dim], mcode) >= floor)
                     q += i
                     ahead = (own[q] != at[s, 0]) | (mid[m] > ids[q])
                     q, m = q[ahead], m[ahead]
                     for k in range(0, len(q), 1 << 16):
                         u, w = q[k : k + (1 << 16)], m[k : k + (1 << 16)]
-                        near = (mx[w] * x[u]).sum(1) >= cosine
+                        near = (mx[w] * x[u - s]).sum(1) >= cosine
                         u, w = u[near], w[near]
                         a_.append(np.r_[ids[u], mid[w]])
                         b_.append(np.r_[mid[w], ids[u]])
@@ -178,8 +195,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE)
     component_id (smallest vec_id reachable, itself included), kept (vec_id =
     component_id).
 
-    Vectors that are null, empty or zero, that hold null or non-finite numbers,
-    or whose length is not the most common one of the sample link with nothing.
+    Vectors that are null, empty or zero, or that hold null or non-finite numbers
+    link with nothing; others link with vectors of their own length, for each of
+    which there is a codebook (``sample`` is shared among the lengths).
     Repeated rows link with each other; ids should be unique otherwise.  Empty
     table: empty result.
     """
@@ -189,17 +207,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE)
     v = F.col("embedding").cast(kind)
     sound = F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.select("vec_id", F.when(sound & F.col("vec_id").isNotNull(), v).alias("v"))
-    some = rows.where("v is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    if not len(some):
-        return alone(rows)
-    sizes = some.v.map(len)
-    dim = int(sizes.mode().iloc[0])
-    good = F.coalesce(F.size("v") == dim, F.lit(False))
+    good = F.col("v").isNotNull()
     classes = materialize(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("many")), "classes")
-    total = classes.count()
-    fit = np.array(some.v[sizes == dim].tolist(), np.float64)
-    fit /= np.sqrt((fit * fit).sum(1))[:, None]
-    shared = spark.sparkContext.broadcast(Codebook(np.unique(fit, axis=0), int(np.clip(total**0.5, 1, LISTS))))
+    lengths = {d: n for d, n in classes.groupBy(F.size("v")).count().collect()}  # a row per length of vector
+    if not lengths:
+        return alone(rows)
+    each = max(sample // len(lengths), 1)
+    nth = F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("id"), "id"))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    thin = spark.createDataFrame([(d, int((1 << 20) * min(1.0, 4 * each / n)) + 1) for d, n in lengths.items()], "d int, most int")
+    some = classes.join(F.broadcast(thin), F.size("v") == F.col("d")).where(share < F.col("most"))  # about 4 * each of a length
+    some = some.withColumn("nth", nth).where(F.col("nth") <= each).select("v", "d").toPandas()
+    samples = {}
+    for d, part in some.groupby("d"):
+        fit = np.array(part.v.tolist(), np.float64)
+        fit /= np.abs(fit).max(1)[:, None]
+        samples[int(d)] = np.unique(fit / np.sqrt((fit * fit).sum(1))[:, None], axis=0)
+    for d in lengths.keys() - samples.keys():  # the hash left a rare length without a row
+        samples[d] = np.eye(1, d)
+    shared = spark.sparkContext.broadcast(Books(samples, {d: int(np.clip(n**0.5, 1, LISTS)) for d, n in lengths.items()}))
     coded = materialize(classes.select("id", "many", "v").mapInArrow(_encode(shared), f"id long, many long, list int, code binary, error double, v {kind}"), "coded")
     asked = coded.select("id", "many", "list", "v").mapInArrow(_probe(shared, (2 - 2 * cosine) ** 0.5), f"at int, id long, many long, own int, v {kind}")
     # a row per list at most: LISTS rows reach the driver
