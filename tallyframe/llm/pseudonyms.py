@@ -20,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "change-me", 8
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+ROUNDS = 8
+# possessive, and begun only where a run begins, so that a text costs its length;
+# the domain has at most the 127 labels that a domain name can have
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,125}\.\p{L}{2,}+"
 SECRET = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[ ]*[=:][ ]*[\"']?[A-Za-z0-9_/+-]{8,}[\"']?|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{40})(?![\p{L}\p{N}])"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
@@ -107,8 +109,8 @@ def kind_of(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"), F.when(day.between(0, 270 * 271 - 1), "date"))
         .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
-        .when(whole(r"\d{3}-\d{2}-\d{4}"), "number")
-        .when(m.startswith("+") | m.startswith("(") | whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), "phone")
+        .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(m.rlike(r"^(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)"), "number"))
+        .when(m.startswith("+") | m.startswith("(") | whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), F.when(F.length(_digits(m)).between(7, 15) & ~_digits(m).rlike(r"^(\d)\1*$"), "phone"))
         .when(whole(r"\d(?:[ -]?\d){12,18}"), F.when(_luhn(_digits(m)) % 10 == 0, "card"))
         .when(m.rlike("[A-Za-z]"), "secret")
     )
@@ -123,7 +125,7 @@ def _hash(m: Column, key: str, what: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(what), m), 256)
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     digits = _digits(m)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     fresh = permute_digits(body, key, "card")
@@ -153,14 +155,18 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replace personal data by keyed pseudonyms of the same format.
 
     docs: any columns with ``text``; the text is replaced and ``n_found`` (map of
-    kind to count, empty if none) added, in place of a column of that name.
-
-    A null text stays null with an empty map; numbers that fail validation stay.
-    Repeated rows are treated alike; empty table: empty result.
+    kind to count, empty if none) added, in place of a column of that name.  key:
+    a secret of the owner; equal values under one key have equal pseudonyms.
+
+    A null text stays null with an empty map; numbers that fail validation stay
+    (cards by their check digit, dates by the calendar, addresses by octet, dashed
+    numbers by the parts that are never issued, phones by 7 to 15 digits that are
+    not all alike).  Repeated rows are treated alike;
+    other columns, of any name, are kept; empty table: empty result.
     """
     pieces = F.split("text", FOUND, -1)
     parts = F.transform(F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)), lambda w: F.struct(w.alias("whole"), _card_in(w).alias("m")))
@@ -170,13 +176,17 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         at = F.instr(h["whole"], h["m"])
         return F.concat(F.substring(h["whole"], F.lit(1), at - 1), pseudonym(h["m"], h["kind"], key), F.substring(h["whole"], at + F.length(h["m"]), F.length(h["whole"])))
 
-    made = F.transform("hits", put)
-    names = [c for c in docs.columns if c not in ("text", "n_found")]
+    names = [c for c in docs.columns if c.lower() not in ("text", "n_found")]
+    hits = "hits"
+    while hits in map(str.lower, names):
+        hits += "_"
+    made = F.transform(hits, put)
+    quoted = [F.col(f"`{c}`") for c in names]
     maybe = F.col("text").rlike("[@0-9]") | F.col("text").rlike(SECRET)  # all others hold a digit or @
-    d = docs.select(*names, "text", F.when(maybe, pairs).alias("hits"))
-    some = F.size("hits") > 0
+    d = docs.select(*quoted, "text", F.when(maybe, pairs).alias(hits))
+    some = F.size(hits) > 0
     text = F.when(some, F.array_join(F.flatten(F.zip_with(pieces, made, lambda p, h: F.array(p, F.coalesce(h, F.lit(""))))), "")).otherwise(F.col("text"))
-    kinds = F.filter(F.transform("hits", lambda h: h["kind"]), lambda k: k.isNotNull())
+    kinds = F.filter(F.transform(hits, lambda h: h["kind"]), lambda k: k.isNotNull())
     count = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
-    out = d.select(*names, text.alias("text"), F.coalesce(F.when(some, count), F.create_map().cast("map<string,int>")).alias("n_found"))
-    return out.select(*[c for c in docs.columns if c != "n_found"], "n_found")
+    out = d.select(*quoted, text.alias("text"), F.coalesce(F.when(some, count), F.create_map().cast("map<string,int>")).alias("n_found"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_found"], "n_found")

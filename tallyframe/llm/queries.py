@@ -19,8 +19,13 @@ from .shingles import jaccard_components
 from .vectors import near_vectors
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The owner's secret, from the session; a fixed one for test tables."""
+    return spark.conf.get("spark.tallyframe.pseudonymKey", "test tables only")
+
+
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("kept_text", "text")
 
 
 def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
     kinds = F.array_sort(F.transform(F.map_entries("n_found"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
     total = F.aggregate(F.map_values("n_found"), F.lit(0), lambda a, b: a + b).cast("long")
     return found.select("doc_id", "text", total.alias("n_found"), F.array_join(kinds, ",").alias("kinds"))

@@ -105,9 +105,21 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
     good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i < 200 or i >= 300]
+    root = {i: i for i, _ in good}
+    for _ in good:
+        for i, v in good:
+            root[i] = min(root[j] for j, w in good if w @ v >= 0.95)
     for i, v in good:
-        assert got[i][0] == sum(j != i and w @ v >= 0.95 for j, w in good)
+        assert got[i] == (sum(j != i and w @ v >= 0.95 for j, w in good), root[i], root[i] == i)
     assert all(got[i] == (0, i, True) for i in range(200, 205))
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_several_lengths_and_scales(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1.0, 0.0]), (4, [1e-200, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 0.1, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [3.0]), (9, [-3.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    assert got == {**{k: (3, 1) for k in (1, 2, 3, 4)}, 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (0, 9), None: (0, None)}
 
 
 def test_mixing(spark):
