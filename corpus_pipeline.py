@@ -14,6 +14,7 @@ from tallyframe.llm.common import materialize, table
 from tallyframe.llm.mixing import REPEATS, mix_sources
 from tallyframe.llm.packing import pack
 from tallyframe.llm.pseudonyms import pseudonymise
+from tallyframe.llm.queries import pseudonym_key
 from tallyframe.llm.rules import quality_rules
 from tallyframe.llm.shingles import jaccard_components
 
@@ -38,7 +39,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms."""
-    out = pseudonymise(docs.select(*COLUMNS))
+    out = pseudonymise(docs.select(*COLUMNS), pseudonym_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
