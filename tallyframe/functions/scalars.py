@@ -6,6 +6,8 @@ Where a text cannot be read the result is null, never an error.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ POINTS_PER_INCH = 72.0
 #: Nominal pipe sizes in inches and their labels.
 NOMINAL = ((0.5, '1/2"'), (0.75, '3/4"'), (1.0, '1"'), (1.25, '1-1/4"'), (1.5, '1-1/2"'), (2.0, '2"'), (2.5, '2-1/2"'), (3.0, '3"'), (4.0, '4"'), (6.0, '6"'), (8.0, '8"'))
 #: Vulgar fractions and prime marks as ASCII.
-FRACTIONS = (("¼", "1/4"), ("½", "1/2"), ("¾", "3/4"), ("⅛", "1/8"), ("⅜", "3/8"), ("⅝", "5/8"), ("⅞", "7/8"))
-_SINGLE, _DOUBLE = "′’‘", "″”“"
+FRACTIONS = (("¼", "1/4"), ("½", "1/2"), ("¾", "3/4"), ("⅛", "1/8"), ("⅜", "3/8"), ("⅝", "5/8"), ("⅞", "7/8"), ("⅓", "1/3"), ("⅔", "2/3"))
+_SINGLE, _DOUBLE = "′’´`", "″”“"
 
 
 def normalise_marks(text: Column) -> Column:
     """Curly and prime marks to ' and ", vulgar fractions to a/b (by plain replacement)."""
-    out = F.translate(text, _SINGLE + _DOUBLE, "'" * 3 + '"' * 3)
+    out = F.translate(text, _SINGLE + _DOUBLE, "'" * len(_SINGLE) + '"' * len(_DOUBLE))
     for mark, plain in FRACTIONS:
         out = F.replace(out, F.lit(mark), F.lit(plain))
     return out
@@ -34,9 +36,10 @@ def _fraction(top: Column, bottom: Column) -> Column:
 
 
 def feet_inches(token: Column, bare_hyphen: bool = False) -> Column:
-    """Feet of 12', 12'-0", 12'-6.5"; with ``bare_hyphen`` also 14-10.  Inches of 12 or more: null."""
+    """Feet of 12', 12'-0", 12'-6, 12'-6.5"; with ``bare_hyphen`` also 14-10.  Inches of 12 or more,
+    and inches that no hyphen parts from the feet: null."""
     t = F.trim(normalise_marks(token))
-    marked = r"^(\d+)'(?:\s*-?\s*(\d+(?:\.\d+)?)\")?$"
+    marked = r"^(\d+)\s*'\s*(?:-\s*(\d+(?:\.\d+)?)\s*\"?)?$"
     bare = r"^(\d+)-(\d+)$"
     feet = F.when(t.rlike(marked), _double(F.regexp_extract(t, marked, 1)))
     inch = F.when(t.rlike(marked), F.coalesce(_double(F.nullif(F.regexp_extract(t, marked, 2), F.lit(""))), F.lit(0.0)))
@@ -57,7 +60,7 @@ def paper_inches(text: Column) -> Column:
     )
 
 
-SCALE = r"(\d+(?:[-\s]\d+/\d+|/\d+|\.\d+)?)\s*\"\s*=\s*(\d+)\s*'(?:\s*-?\s*(\d+(?:\.\d+)?)\s*\")?"
+SCALE = r"(\d+(?:[-\s]\d+/\d+|/\d+|\.\d+)?)\s*\"\s*=\s*(\d+)\s*'(?:\s*-\s*(\d+(?:\.\d+)?)\s*\"?)?"
 
 
 def points_per_foot(label: Column) -> Column:
@@ -205,27 +208,30 @@ def is_fixture_tag(word: Column) -> Column:
     return F.trim(word).rlike(r"^[A-Z]{1,5}-?[0-9]{1,3}$")
 
 
-#: Sheet-number letters and their trades; FP stands before F and P.
-TRADE_LETTERS = (("FP", "Fire Protection"), ("FA", "Fire Alarm"), ("M", "Mechanical"), ("P", "Plumbing"), ("E", "Electrical"), ("S", "Structural"), ("A", "Architectural"), ("C", "Civil"))
+#: Letters of sheet numbers and their trades, and marks around them; FP stands before P.
+TRADE_LETTERS = (("FP", "Fire Protection"), ("M", "Mechanical"), ("P", "Plumbing"), ("S", "Structural"), ("A", "Architectural"), ("E", "Electrical"))
+_AROUND = ".,;:()[]{}'\""
+#: Sheet numbers in upper-case text, as whole words; group 1 is the letters.
+SHEET_NUMBERS = r"""(?<!\S)[.,;:()\[\]{}'"]*+(FP|[MPSAE])[-.]?[0-9]{1,3}(?:\.[0-9]{1,2})?[.,;:()\[\]{}'"]*+(?!\S)"""
 
 
 def sheet_number_trade(word: Column) -> Column:
-    """Trade of a sheet number such as M1.1, m-101, FP2.20; others null."""
-    w = F.upper(F.btrim(word, F.lit(".,;:()[]")))
-    out = None
-    for letters, trade in TRADE_LETTERS:
-        hit = w.rlike(rf"^{letters}-?[0-9]{{1,3}}(?:\.[0-9]{{1,2}})?$")
-        out = F.when(hit, trade) if out is None else out.when(hit, trade)
+    """Trade of a sheet number such as M1.1, m-101, M.101, FP2.20; others null."""
+    number = r"^(FP|[MPSAE])[-.]?[0-9]{1,3}(?:\.[0-9]{1,2})?$"
+    letters = F.regexp_extract(F.upper(F.btrim(word, F.lit(_AROUND))), number, 1)
+    out = F.lit(None).cast("string")
+    for prefix, trade in TRADE_LETTERS:
+        out = F.when(letters == prefix, trade).otherwise(out)
     return out
 
 
 def has_term(text: Column, term: str) -> Column:
     """Whole-word match, any white space between the words of the term."""
-    return F.upper(text).rlike(r"\b" + r"\s+".join(term.upper().split()) + r"\b")
+    return F.upper(text).rlike(r"\b" + r"\s+".join(re.escape(w) for w in term.upper().split()) + r"\b")
 
 
 def filename_words(name: Column) -> Column:
-    return F.upper(F.regexp_replace(name, "[_.-]+", " "))
+    return F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), "[_.-]+", " "))
 
 
 def trusted_label(measurable: Column, ambiguous: Column, confidence: Column) -> Column:
@@ -245,3 +251,43 @@ def image_tokens(w: Column, h: Column, long_edge: int = 1568, cap: int = 1600) -
 
 def safe_tokens(count: Column, factor: float = 1.1) -> Column:
     return F.ceil(count * max(factor, 1.0)).cast("long")
+
+
+def centroid(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Middle of a box, as a struct (x, y)."""
+    return F.struct(((x0 + x1) / 2).alias("x"), ((y0 + y1) / 2).alias("y"))
+
+
+def sheet_id(source: Column, page_index: Column) -> Column:
+    return F.concat(source, F.lit("#p"), page_index.cast("string"))
+
+
+def effective_ppf(override_label: Column, detected: Column) -> Column:
+    """Points per foot of an override label, else the one detected; zero counts as none."""
+    return F.coalesce(points_per_foot(override_label), F.nullif(detected, F.lit(0.0)))
+
+
+def consecutive(points: Column) -> Column:
+    """Segments (a, b) of a polyline: array of consecutive points."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(points, 1, n).alias("a"), F.slice(points, 2, n).alias("b"))
+
+
+def same_shape(a: Column, b: Column, tolerance: float = 0.25) -> Column:
+    """Point lists of equal length whose coordinates differ by ``tolerance`` at most."""
+    near = F.forall(F.zip_with(a, b, lambda p, q: (F.abs(p["x"] - q["x"]) <= tolerance) & (F.abs(p["y"] - q["y"]) <= tolerance)), lambda x: x)
+    return (F.size(a) == F.size(b)) & near
+
+
+def measurable_path(items: Column) -> Column:
+    return path_length(items) >= 1.0
+
+
+def spans_page(w: Column, h: Column, page_w: Column, page_h: Column, share: float = 0.80) -> Column:
+    """A long main or a match line: spans most of the sheet in one direction."""
+    return F.coalesce((page_w > 0) & (page_h > 0) & (F.greatest(w / page_w, h / page_h) >= share), F.lit(False))
+
+
+def text_sample(text: Column, most: int = 1500) -> Column:
+    """What a labeler is shown of a page (a feature of the request, not of the takeoff)."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)

@@ -7,6 +7,7 @@ to grid cells and joined on (sheet, cell), then tested exactly.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,11 +17,15 @@ from ..functions import scalars as S
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage by a table in the shared checkpoint folder, where one is set."""
+    """Cut the lineage by a table in the shared folder of spark.checkpoint.dir; where
+    none is set (a single machine), in a folder of the session's own, set there."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        return df.persist()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
+        spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -36,11 +41,27 @@ def in_cells(df: DataFrame, x0: str, y0: str, x1: str, y1: str, size: float, gro
     return out.withColumn("cy", F.explode(cells(F.col(y0) - grow, F.col(y1) + grow, size)))
 
 
-def walk_cells(df: DataFrame, size: float, grow: float) -> DataFrame:
-    """Cells of a segment's box, grown: exactly those it crosses where it runs along an
-    axis, a superset else, which the exact distance test behind every use settles."""
-    box = df.withColumns({"bx0": F.least("x0", "x1"), "by0": F.least("y0", "y1"), "bx1": F.greatest("x0", "x1"), "by1": F.greatest("y0", "y1")})
-    return in_cells(box, "bx0", "by0", "bx1", "by1", size, grow).drop("bx0", "by0", "bx1", "by1")
+def walk_cells(df: DataFrame, size: float) -> DataFrame:
+    """A row for each grid cell that a segment x0..y1 crosses: along its longer side
+    cell by cell, and across it only what it covers there."""
+    slack = 1e-6
+    flat = F.abs(F.col("x1") - F.col("x0")) >= F.abs(F.col("y1") - F.col("y0"))
+    u0, u1, v0, v1 = (F.when(flat, F.col(a)).otherwise(F.col(b)) for a, b in (("x0", "y0"), ("x1", "y1"), ("y0", "x0"), ("y1", "x1")))
+    out = df.withColumn("cu", F.explode(cells(F.least(u0, u1) - slack, F.greatest(u0, u1) + slack, size)))
+
+    def at(u: Column) -> Column:
+        share = F.coalesce(F.try_divide(u - u0, u1 - u0), F.lit(0.0))
+        return v0 + (v1 - v0) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+    a, b = at(F.col("cu") * size - slack), at((F.col("cu") + 1) * size + slack)
+    out = out.withColumn("cv", F.explode(cells(F.least(a, b) - slack, F.greatest(a, b) + slack, size)))
+    return out.withColumn("cx", F.when(flat, F.col("cu")).otherwise(F.col("cv"))).withColumn("cy", F.when(flat, F.col("cv")).otherwise(F.col("cu"))).drop("cu", "cv")
+
+
+def around(df: DataFrame, px: str, py: str, radius: float, size: float) -> DataFrame:
+    """A row for each grid cell within ``radius`` of a point."""
+    out = df.withColumn("cx", F.explode(cells(F.col(px) - radius, F.col(px) + radius, size)))
+    return out.withColumn("cy", F.explode(cells(F.col(py) - radius, F.col(py) + radius, size)))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,18 +77,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         import pandas as pd
 
         ids, code = np.unique(np.concatenate([pdf.a.to_numpy(), pdf.b.to_numpy()]), return_inverse=True)
-        parent = list(range(len(ids)))
-
-        def top(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for x, y in zip(code[: len(pdf)].tolist(), code[len(pdf) :].tolist(), strict=True):
-            x, y = top(x), top(y)
-            parent[max(x, y)] = min(x, y)
-        return pd.DataFrame({"sheet": pdf.sheet.iloc[0], "node": ids, "root": ids[[top(k) for k in range(len(ids))]]})
+        # each root takes the least root that an edge leads to, until nothing moves
+        label, u, v = np.arange(len(ids)), code[: len(pdf)], code[len(pdf) :]
+        while len(u):
+            low = np.minimum(label[u], label[v])
+            np.minimum.at(label, label[u], low)
+            np.minimum.at(label, label[v], low)
+            while not np.array_equal(jumped := label[label], label):
+                label = jumped
+            open_ = label[u] != label[v]
+            u, v = u[open_], v[open_]
+        return pd.DataFrame({"sheet": pdf.sheet.iloc[0], "node": ids, "root": ids[label]})
 
     kinds = dict(nodes.dtypes)
     schema = f"sheet {kinds['sheet']}, node {kinds['node']}, root {kinds['node']}"
@@ -94,18 +114,53 @@ def snap(segments: DataFrame, lattice: float) -> DataFrame:
     at = lambda c: F.round(F.col(c) / lattice).cast("long")
     s = segments.select("*", *[at(c).alias("k" + c) for c in ("x0", "y0", "x1", "y1")])
     a, b = F.struct(F.col("kx0").alias("x"), F.col("ky0").alias("y")), F.struct(F.col("kx1").alias("x"), F.col("ky1").alias("y"))
-    s = s.withColumn("n0", F.least(a, b)).withColumn("n1", F.greatest(a, b)).where("n0 <> n1")
+    return _once(s.withColumn("n0", F.least(a, b)).withColumn("n1", F.greatest(a, b))).drop("kx0", "ky0", "kx1", "ky1")
+
+
+def _once(s: DataFrame) -> DataFrame:
     first = Window.partitionBy("sheet", "style", "n0", "n1").orderBy("seg")
-    return s.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank", "kx0", "ky0", "kx1", "ky1")
+    return s.where("n0 <> n1").withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
+
 
+def snap_greedy(segments: DataFrame, tolerance: float) -> DataFrame:
+    """As snap, with ends joined in the order of ``seg``: an end takes the first end
+    seen within ``tolerance`` of it, across cell borders too, or is new."""
 
-def stitch_runs(segments: DataFrame, lattice: float = 0.5, degrees: float = 2.0) -> DataFrame:
+    def run(pdf):
+        import math
+
+        seen: dict = {}
+        points: list[tuple[float, float]] = []
+
+        def node(x: float, y: float) -> int:
+            cx, cy = math.floor(x / tolerance), math.floor(y / tolerance)
+            near = [k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in seen.get((cx + i, cy + j), ()) if math.hypot(points[k][0] - x, points[k][1] - y) <= tolerance]
+            if near:
+                return min(near)
+            points.append((x, y))
+            seen.setdefault((cx, cy), []).append(len(points) - 1)
+            return len(points) - 1
+
+        pdf = pdf.sort_values("seg", kind="stable")
+        ends = [(node(a, b), node(c, d)) for a, b, c, d in zip(pdf.x0, pdf.y0, pdf.x1, pdf.y1, strict=True)]
+        return pdf.assign(n0=[min(e) for e in ends], n1=[max(e) for e in ends])
+
+    s = segments.select("sheet", "style", "seg", "x0", "y0", "x1", "y1").where("x0 <> x1 or y0 <> y1")
+    kinds = ", ".join(f"{c} {t}" for c, t in s.dtypes)
+    return _once(s.groupBy("sheet", "style").applyInPandas(run, f"{kinds}, n0 long, n1 long"))
+
+
+def stitch_runs(segments: DataFrame, tolerance: float = 0.5, degrees: float = 2.0, lattice: float | None = None) -> DataFrame:
     """Runs: segments of one pen that share an end and a direction, joined transitively.
 
     segments: sheet, style, seg (unique in the sheet), x0..y1.  Returns sheet,
-    style, run (least seg), length_pt, segment_count, x0..y1 (bounding box).
+    style, run (least seg), length_pt, segment_count, x0..y1 (bounding box),
+    segments (array of x0..y1), ends (the two outermost points along the longer
+    side of the box).  Ends are snapped greedily within ``tolerance``, or to a
+    ``lattice``, which needs no grouped function.
     """
-    s = settle(snap(segments, lattice).withColumn("angle", S.angle_180(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))), "snapped")
+    s = snap(segments, lattice) if lattice else snap_greedy(segments, tolerance)
+    s = settle(s.withColumn("angle", S.angle_180(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))), "snapped")
     ends = s.select("sheet", "style", "seg", "angle", F.explode(F.array("n0", "n1")).alias("n"))
     a = ends.select("sheet", "style", "n", F.col("seg").alias("a"), F.col("angle").alias("aa"))
     b = ends.select("sheet", "style", "n", F.col("seg").alias("b"), F.col("angle").alias("ab"))
@@ -113,10 +168,21 @@ def stitch_runs(segments: DataFrame, lattice: float = 0.5, degrees: float = 2.0)
     roots = components(s.select("sheet", F.col("seg").alias("node")), edges)
     s = s.join(roots.withColumnsRenamed({"node": "seg", "root": "run"}), ["sheet", "seg"])
     length = S.segment_length(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return s.groupBy("sheet", "style", "run").agg(
+    runs = s.groupBy("sheet", "style", "run").agg(
         F.sum(length).alias("length_pt"), F.count("*").alias("segment_count"),
         F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"), F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"),
+        F.collect_list(F.struct("seg", "x0", "y0", "x1", "y1")).alias("held"),
     )
+    held = F.transform(F.array_sort("held"), lambda e: F.struct(e["x0"].alias("x0"), e["y0"].alias("y0"), e["x1"].alias("x1"), e["y1"].alias("y1")))
+    flat = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
+    points = F.flatten(F.transform("segments", lambda e: F.array(F.struct(F.when(flat, e["x0"]).otherwise(e["y0"]).alias("u"), e["x0"].alias("x"), e["y0"].alias("y")), F.struct(F.when(flat, e["x1"]).otherwise(e["y1"]).alias("u"), e["x1"].alias("x"), e["y1"].alias("y")))))
+    tip = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+    return runs.withColumn("segments", held).drop("held").withColumn("ends", F.array(tip(F.array_min(points)), tip(F.array_max(points))))
+
+
+def run_segments(runs: DataFrame) -> DataFrame:
+    """A row for each segment of each run: sheet, run, x0..y1."""
+    return runs.select("sheet", "run", F.explode("segments").alias("s")).select("sheet", "run", "s.x0", "s.y0", "s.x1", "s.y1")
 
 
 def without_borders(runs: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -124,22 +190,20 @@ def without_borders(runs: DataFrame, sheets: DataFrame) -> DataFrame:
     return joined.where(~S.border_run(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "page_w", "page_h")))).drop("page_w", "page_h")
 
 
-def touching(pieces: DataFrame, tolerance: float, cell: float = 36.0) -> DataFrame:
-    """Edges (sheet, a, b) where an end of piece a lies within ``tolerance`` of piece b.
+def touching(runs: DataFrame, tolerance: float, cell: float = 36.0) -> DataFrame:
+    """Edges (sheet, a, b) where an end of run a lies within ``tolerance`` of a segment of run b.
 
-    pieces: sheet, id, x0..y1.  Only ends are tested, so crossings stay apart."""
-    ends = pieces.select("sheet", F.col("id").alias("a"), F.explode(F.array(F.struct(F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")))).alias("p")).select("sheet", "a", "p.px", "p.py")
-    ends = ends.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-    others = walk_cells(pieces.withColumnRenamed("id", "b"), cell, tolerance)
-    near = ends.join(others, ["sheet", "cx", "cy"]).where("a <> b")
+    Only ends are tested, so crossings stay apart."""
+    ends = runs.select("sheet", F.col("run").alias("a"), F.explode("ends").alias("p")).select("sheet", "a", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    others = walk_cells(run_segments(runs).withColumnRenamed("run", "b"), cell)
+    near = around(ends, "px", "py", tolerance, cell).join(others, ["sheet", "cx", "cy"]).where("a <> b")
     d = S.point_segment_distance(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")))
     return near.where(d <= tolerance + 1e-9).select("sheet", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def networks(runs: DataFrame, tolerance: Column | float) -> DataFrame:
+def networks(runs: DataFrame, tolerance: float) -> DataFrame:
     """(sheet, run, network): connected runs; networks are numbered by length, longest 0."""
-    pieces = runs.select("sheet", F.col("run").alias("id"), "x0", "y0", "x1", "y1")
-    roots = components(pieces.select("sheet", F.col("id").alias("node")), touching(pieces, tolerance)).withColumnRenamed("node", "run")
+    roots = components(runs.select("sheet", F.col("run").alias("node")), touching(runs, tolerance)).withColumnRenamed("node", "run")
     joined = runs.join(roots, ["sheet", "run"])
     total = joined.groupBy("sheet", "root").agg(F.sum("length_pt").alias("t"))
     rank = F.row_number().over(Window.partitionBy("sheet").orderBy(F.desc("t"), "root")) - 1
@@ -149,9 +213,10 @@ def networks(runs: DataFrame, tolerance: Column | float) -> DataFrame:
 def nearest_tag(runs: DataFrame, tags: DataFrame, radius: float, cell: float = 36.0) -> DataFrame:
     """(sheet, run, size): size of the nearest tag within ``radius``, last word on ties; null without one.
 
-    tags: sheet, word_ord, px, py, size."""
-    pieces = walk_cells(runs.select("sheet", "run", "x0", "y0", "x1", "y1"), cell, radius)
-    tags = tags.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
+    tags: sheet, word_ord, px, py, size.  Tags, which are few, go to the cells
+    around them; segments to those that they cross."""
+    pieces = walk_cells(run_segments(runs), cell)
+    tags = around(tags, "px", "py", radius, cell)
     d = S.point_segment_distance(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")))
     near = pieces.join(tags, ["sheet", "cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius + 1e-9)
     best = near.groupBy("sheet", "run").agg(F.max_by("size", F.struct(-F.round("d", 6), "word_ord")).alias("size"))
@@ -176,5 +241,6 @@ def dimension_matches(segments: DataFrame, tags: DataFrame, sheets: DataFrame, r
     t = tags.withColumn("cx", F.explode(cells(F.col("px") - reach, F.col("px") + reach, reach))).withColumn("cy", F.explode(cells(F.col("py") - reach, F.col("py") + reach, reach)))
     near = t.join(s, ["sheet", "cx", "cy"]).withColumn("d", F.hypot(F.col("px") - F.col("mx"), F.col("py") - F.col("my")))
     near = near.where((F.col("d") <= reach) & F.col("pt").between(0.5 * F.col("feet") * F.col("ppf"), 1.6 * F.col("feet") * F.col("ppf")))
-    best = near.groupBy("sheet", "word_ord", "feet").agg(F.min_by(F.struct("seg", "pt", "ppf"), F.struct(F.round("d", 6), "seg")).alias("m"))
-    return best.select("sheet", "word_ord", "feet", F.col("m.seg").alias("seg"), F.col("m.pt").alias("pt"), S.scale_error_percent(F.col("m.pt"), F.col("feet"), F.col("m.ppf")).alias("error_percent"))
+    pen = ["style"] if "style" in segments.columns else []
+    best = near.groupBy("sheet", "word_ord", "feet").agg(F.min_by(F.struct("seg", "pt", "ppf", *pen), F.struct(F.round("d", 6), "seg")).alias("m"))
+    return best.select("sheet", "word_ord", "feet", *[F.col("m.style").alias("style")] * len(pen), F.col("m.seg").alias("seg"), F.col("m.pt").alias("pt"), S.scale_error_percent(F.col("m.pt"), F.col("feet"), F.col("m.ppf")).alias("error_percent"))

@@ -41,29 +41,61 @@ def linework_pens(paths: DataFrame, cap: Column) -> DataFrame:
     return count.where((F.col("n_long") >= LONG_PATHS) & (F.col("n_long") >= LONG_SHARE * F.col("n"))).select("sheet", "style")
 
 
-def path_signature(items: Column, token: Column) -> Column:
-    """Text equal for paths that are congruent under shifts, quarter turns and mirrors.
+def symbol_suspects(paths: DataFrame, cap: Column) -> DataFrame:
+    """Suspects without those of line-work pens and without exact duplicates."""
+    small = suspects(paths, cap).join(linework_pens(paths, cap), ["sheet", "style"], "left_anti")
+    return distinct_paths(small)
+
+
+def style_token(style: Column, fill: Column, kind: Column, closed: Column) -> Column:
+    """What besides geometry makes two parts differ: pen, fill, kind, closed."""
+    return F.concat_ws("|", style.cast("string"), F.coalesce(fill.cast("string"), F.lit("none")), kind, closed.cast("string"))
+
+
+def instance_signature(parts: Column) -> Column:
+    """Text equal for sets of parts that are congruent under shifts, quarter turns and mirrors.
 
-    Points are whole tenths relative to the frame's own least corner; a
-    rectangle's corners are put in order; the least of the eight frames counts."""
+    parts: array of struct (token, items).  Points are whole tenths relative to
+    the least corner of all parts together, so their places among each other are
+    part of the signature; a rectangle's corners and a line's ends are put in
+    order; the least of the eight frames counts."""
     tenth = lambda v: F.round(v * 10).cast("long")
+    # points are put on the grid of tenths once; frames and shifts are whole-number steps after that
+    grid = F.transform(parts, lambda part: F.struct(part["token"].alias("token"), F.transform(part["items"], lambda i: F.struct(i["op"].alias("op"), F.transform(i["pts"], lambda p: F.struct(tenth(p["x"]).alias("x"), tenth(p["y"]).alias("y"))).alias("pts"))).alias("items")))
 
-    def framed(m: tuple[int, int, int, int]) -> Column:
-        a, b, c, d = m
+    def framed(parts: Column, m: Column) -> Column:
+        a, b, c, d = (m[k] for k in "abcd")
 
         def turn(i: Column) -> Column:
             pts = F.transform(i["pts"], lambda p: F.struct((a * p["x"] + b * p["y"]).alias("x"), (c * p["x"] + d * p["y"]).alias("y")))
-            xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+            xs, ys = F.transform(i["pts"], lambda p: a * p["x"] + b * p["y"]), F.transform(i["pts"], lambda p: c * p["x"] + d * p["y"])
             box = F.array(F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y")), F.struct(F.array_max(xs).alias("x"), F.array_max(ys).alias("y")))
             return F.struct(i["op"].alias("op"), F.when(i["op"] == "re", box).otherwise(F.when((i["op"] == "l"), F.array_sort(pts)).otherwise(pts)).alias("pts"))
 
-        turned = F.transform(items, turn)
-        flat = F.flatten(F.transform(turned, lambda i: i["pts"]))
-        ox, oy = F.array_min(F.transform(flat, lambda p: p["x"])), F.array_min(F.transform(flat, lambda p: p["y"]))
-        return F.array_sort(F.transform(turned, lambda i: F.struct(i["op"].alias("op"), F.transform(i["pts"], lambda p: F.struct(tenth(p["x"] - ox).alias("x"), tenth(p["y"] - oy).alias("y"))).alias("pts"))))
+        def corner(turned: Column) -> Column:
+            flat = F.flatten(F.flatten(F.transform(turned, lambda part: F.transform(part["items"], lambda i: i["pts"]))))
+            return F.struct(turned.alias("parts"), F.array_min(F.transform(flat, lambda p: p["x"])).alias("ox"), F.array_min(F.transform(flat, lambda p: p["y"])).alias("oy"))
+
+        def shifted(t: Column) -> Column:
+            shift = lambda i: F.struct(i["op"].alias("op"), F.transform(i["pts"], lambda p: F.struct((p["x"] - t["ox"]).alias("x"), (p["y"] - t["oy"]).alias("y"))).alias("pts"))
+            return F.array_sort(F.transform(t["parts"], lambda part: F.struct(part["token"].alias("token"), F.array_sort(F.transform(part["items"], shift)).alias("items"))))
+
+        turned = F.transform(parts, lambda part: F.struct(part["token"].alias("token"), F.transform(part["items"], turn).alias("items")))
+        return _let(_let(turned, corner), shifted)
+
+    frames = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abcd", m, strict=True)]) for m in FRAMES])
+    best = _let(grid, lambda g: F.array_min(F.transform(frames, lambda m: framed(g, m))))
+    return F.substring(F.sha1(F.to_json(best)), 1, 12)
+
 
-    best = F.array_min(F.array(*[framed(m) for m in FRAMES]))
-    return F.substring(F.sha1(F.concat_ws("|", token, F.to_json(best))), 1, 12)
+def _let(value: Column, then) -> Column:
+    """then(value) with value evaluated once: nothing else keeps a step inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def path_signature(items: Column, token: Column) -> Column:
+    """Signature of one path."""
+    return instance_signature(F.array(F.struct(token.alias("token"), items.alias("items"))))
 
 
 def simple_signature(items: Column) -> Column:
@@ -82,8 +114,7 @@ def distinct_paths(paths: DataFrame) -> DataFrame:
 
 def repeated_parts(paths: DataFrame, min_count: int = 2) -> DataFrame:
     """Paths whose signature (column sig) occurs min_count times on the sheet."""
-    often = paths.groupBy("sheet", "sig").count().where(F.col("count") >= min_count).select("sheet", "sig")
-    return paths.join(often, ["sheet", "sig"], "left_semi")
+    return paths.withColumn("times", F.count("*").over(Window.partitionBy("sheet", "sig"))).where(F.col("times") >= min_count).drop("times")
 
 
 def instances(paths: DataFrame, gap: float = GAP_PT) -> DataFrame:
@@ -98,9 +129,11 @@ def instances(paths: DataFrame, gap: float = GAP_PT) -> DataFrame:
 
 
 def composites(paths: DataFrame, grouped: DataFrame, cap: Column, sheets: DataFrame) -> DataFrame:
-    """A row per instance: box, parts, composite signature; oversized ones flagged."""
+    """A row per instance: box, parts, signature of all parts together; oversized ones flagged.
+
+    paths: with token (style_token)."""
     joined = paths.join(grouped, ["sheet", "path_ord"]).join(sheets.select("sheet", "ppf"), "sheet")
-    inst = joined.groupBy("sheet", "instance", "ppf").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_parts"), F.array_join(F.array_sort(F.collect_list("sig")), "+").alias("composite"))
+    inst = joined.groupBy("sheet", "instance", "ppf").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_parts"), instance_signature(F.collect_list(F.struct("token", "items"))).alias("composite"))
     return inst.withColumn("oversized", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > cap).drop("ppf")
 
 
@@ -121,6 +154,15 @@ def fixture_tags(words: DataFrame) -> DataFrame:
     return words.where(S.is_fixture_tag(F.col("text"))).groupBy("sheet", F.trim("text").alias("tag")).count()
 
 
+def component_takeoff(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """Clusters with their labels and state; see rollups.component_counts and cluster_notes.
+
+    clusters: of cluster_symbols (id in ``cluster``); labels: sheet, id and the label's fields."""
+    from .rollups import entity_gate, with_labels
+
+    return entity_gate(with_labels(clusters.withColumnRenamed("cluster", "id"), labels, ["sheet", "id"]))
+
+
 # --- cores: what many instances share, found and matched within one sheet -------------
 
 

@@ -55,7 +55,7 @@ SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS sheet, CAST(p_partkey AS BIGINT) AS
   CAST(9 * ((7 * l_partkey + 3 * l_orderkey) % 168) + 4 AS DOUBLE) AS px, CAST(9 * ((5 * l_orderkey + 11 * l_partkey) % 120) + 5 AS DOUBLE) AS py,
   CAST(p_size AS STRING) AS size_text, concat(CAST(p_size AS STRING), '-0') AS length_text,
   concat(upper(substr(p_type, 1, 2)), '-', CAST(p_size AS STRING)) AS tag_text
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 8
+FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
 #: Labels of pens by sheet and pen: what a labeler would say.
@@ -68,15 +68,33 @@ SELECT sheet, style,
 FROM (SELECT DISTINCT sheet, style FROM tk_segments) AS pens WHERE (sheet + 5 * ascii(style)) % 13 <> 0
 """
 
-#: Text pages for the trade classifier: documents with a phrase put before them.
+#: Segments for the symbol scan: two thirds of the short ones have pens of their own,
+#: so that some pens draw lines and others symbols.
+PARTS = """
+SELECT sheet, CASE WHEN greatest(x1 - x0, y1 - y0) <= 36 AND (x0 + y0) / 9 % 3 < 2 THEN concat('s', style) ELSE style END AS style, x0, y0, x1, y1
+FROM tk_segments
+"""
+
+#: Rows of lineitem as slanted segments, rising and falling.
+SLANTS = """
+SELECT DISTINCT sheet, style, x0, y0, x0 + len AS x1, CASE WHEN rising = 1 THEN y0 + len ELSE y0 - len END AS y1, rising
+FROM (
+  SELECT CAST(l_suppkey AS BIGINT) AS sheet, l_linestatus AS style,
+    CAST(9 * ((7 * l_partkey + 3 * l_orderkey) % 168) AS DOUBLE) AS x0, CAST(9 * ((5 * l_orderkey + 11 * l_partkey) % 120) AS DOUBLE) AS y0,
+    CAST(9 * l_quantity AS DOUBLE) AS len, CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 1 ELSE 0 END AS rising
+  FROM lineitem
+) AS raw
+"""
+
+#: Text pages for the trade classifier: whole documents with a phrase put before them.
 TRADE_PAGES = """
 SELECT doc_id % 97 AS sheet_set, doc_id,
   upper(concat(CASE doc_id % 97 % 7 WHEN 0 THEN 'FIRE PROTECTION PLAN SPRINKLER RISER ' WHEN 1 THEN 'MECHANICAL PLAN DUCT DIFFUSER AHU ' WHEN 2 THEN 'PLUMBING PLAN WATER CLOSET LAVATORY '
-    WHEN 3 THEN 'ELECTRICAL PLAN PANELBOARD LUMINAIRE ' WHEN 4 THEN 'DUCT CFM DIFFUSER AHU ' WHEN 5 THEN 'MECHANICAL ROOM ELECTRICAL ROOM ' ELSE '' END, substr(coalesce(text, ''), 1, 40))) AS page_text
+    WHEN 3 THEN 'ELECTRICAL PLAN PANELBOARD LUMINAIRE ' WHEN 4 THEN 'DUCT CFM DIFFUSER (M.101) m-102, ' WHEN 5 THEN 'MECHANICAL ROOM ELECTRICAL ROOM FP2.20 ' ELSE 'S-201 A101 M.1011 ' END, coalesce(text, ''))) AS page_text
 FROM documents
 """
 
-VIEWS = {"tk_segments": SEGMENTS, "tk_sheets": SHEETS, "tk_words": WORDS, "tk_style_labels": STYLE_LABELS, "tk_pages": TRADE_PAGES}
+VIEWS = {"tk_segments": SEGMENTS, "tk_sheets": SHEETS, "tk_words": WORDS, "tk_style_labels": STYLE_LABELS, "tk_parts": PARTS, "tk_slants": SLANTS, "tk_pages": TRADE_PAGES}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
