@@ -19,8 +19,8 @@ def test_scale_labels(spark):
 
 
 def test_feet_inches(spark):
-    got = values(spark, ["12'-0\"", "10'-10\"", "12'", "1′-6″", "N-145", "FP4.01", "14-10", "hello"], S.feet_inches)
-    assert got == pytest.approx([12, 10 + 10 / 12, 12, 1.5, None, None, None, None])
+    got = values(spark, ["12'-0\"", "10'-10\"", "12'", "1′-6″", "12'-6", "12'6\"", "3´-6`", "N-145", "FP4.01", "14-10", "hello"], S.feet_inches)
+    assert got == pytest.approx([12, 10 + 10 / 12, 12, 1.5, 12.5, None, None, None, None, None, None])
     assert values(spark, ["14-10", "4-6"], lambda c: S.feet_inches(c, bare_hyphen=True)) == pytest.approx([14 + 10 / 12, 4.5])
 
 
@@ -55,6 +55,7 @@ def test_networks_and_sizes(spark):
     r = runs(spark, [(0, 0, 200, 0), (100, 0, 100, 60), (0, 900, 90, 900), (300, 50, 300, 200), (250, 100, 400, 100)]).cache()
     nets = {(x.run, x.network) for x in G.networks(r, 4.5).collect()}
     assert len({n for _, n in nets}) == 4  # the branch joins its main, the crossing lines stay apart
+    assert {tuple(p) for x in r.collect() for p in x.ends} >= {(0.0, 0.0), (200.0, 0.0), (100.0, 60.0)}
     tags = spark.createDataFrame([("a", 1, 53.0, 5.0, 2.0)], "sheet string, word_ord long, px double, py double, size double")
     assert sorted((x.size is None) for x in G.nearest_tag(r, tags, 18.0).collect()) == [False, True, True, True, True]
 
@@ -72,3 +73,125 @@ def test_signature_is_the_same_under_turns_and_mirrors(spark):
 def test_fixture_tags(spark):
     df = spark.createDataFrame([("a", t) for t in ("WC-1", "WC-1", "LAV2", "P-3", "12-0", "2", "TYP")], "sheet string, text string")
     assert {(r.tag, r["count"]) for r in Y.fixture_tags(df).collect()} == {("WC-1", 2), ("LAV2", 1), ("P-3", 1)}
+
+
+@pytest.mark.parametrize("flip", [1, -1])
+def test_slanted_lines_keep_their_ends(spark, flip):
+    r = runs(spark, [(0, 100 * (flip < 0), 100, 100 * (flip > 0)), (100, 100 * (flip > 0), 100, 300), (0, 100 * (flip > 0), -80, 100 * (flip > 0) + 300)]).cache()
+    assert len({x.network for x in G.networks(r, 4.5).collect()}) == 2  # the riser joins at its end, the line off the other corner does not
+    tags = spark.createDataFrame([("a", 1, 30.0, 30.0 if flip > 0 else 70.0, 2.0)], "sheet string, word_ord long, px double, py double, size double")
+    assert sorted(str(x.size) for x in G.nearest_tag(r, tags, 5.0).collect()) == ["2.0", "None", "None"]
+
+
+def test_greedy_snapping_crosses_cells(spark):
+    rows = [(0, 0, 40.24, 0), (40.26, 0, 60, 0), (40.0, 0.0, 0.0, 0.1)]
+    assert [round(x.length_pt, 2) for x in runs(spark, rows).collect()] == [59.98]
+
+
+def test_walked_cells_hold_the_line(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 1000.0, 990.0), (5.0, 5.0, 5.0, 5.0), (10.0, 300.0, 12.0, -20.0)], "x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in G.walk_cells(df, 36.0).collect():
+        got.setdefault(r.x0, set()).add((r.cx, r.cy))
+    for x0, y0, x1, y1 in [tuple(r) for r in df.collect()]:
+        on = {(int((x0 + (x1 - x0) * k / 5000) // 36), int((y0 + (y1 - y0) * k / 5000) // 36)) for k in range(5001)}
+        assert on <= got[x0] and len(got[x0]) <= 3 * len(on) + 3
+
+
+def test_parts_in_other_places_are_other_symbols(spark):
+    def inst(parts):
+        made = ", ".join(f"named_struct('token', 't', 'items', array(named_struct('op', 'l', 'pts', array(named_struct('x', {a}D, 'y', {b}D), named_struct('x', {c}D, 'y', {d}D)))))" for a, b, c, d in parts)
+        return spark.sql(f"SELECT array({made}) AS p").select(Y.instance_signature(F.col("p"))).first()[0]
+
+    ell, tee = [(0, 0, 10, 0), (0, 0, 0, 6)], [(0, 0, 10, 0), (5, 0, 5, 6)]
+    turned, moved = [(50, 50, 50, 60), (44, 50, 50, 50)], [(7.04, 3, 7.04, 9), (7.04, 3, 17.04, 3)]
+    assert inst(ell) == inst(turned) == inst(moved) != inst(tee)
+
+
+def test_trades(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import rollups as R
+
+    pages = [(1, "DUCT CFM DIFFUSER AHU"), (2, "CONDUCTOR PRODUCT ELECTROMECHANICAL AQUEDUCT"), (3, "MECHANICAL ROOM"), (3, "ELECTRICAL ROOM"), (4, "M1.1 (M-102), refer to electrical"), (4, "M.101 mechanical plan"), (5, None), (6, "fire   protection FP2.20"), (6, "Fire sprinkler FP2.21")]
+    df = spark.createDataFrame(pages, "sheet_set long, page_text string")
+    got = {r.sheet_set: r.trade for r in R.decide_trade(R.trade_scores(df)).collect()}
+    assert got == {1: "Mechanical", 2: None, 3: None, 4: "Mechanical", 5: None, 6: "Fire Protection"}
+    scores = {(r.sheet_set, r.trade): r.score for r in R.trade_scores(df).collect()}
+    assert scores[(6, "Fire Protection")] == 12 and scores[(4, "Mechanical")] == 8 and scores[(4, "Electrical")] == 4
+    named = R.trade_scores(df.where("sheet_set = 5").withColumn("file", F.lit("Weld_County_Mechanical_Permit_Set.pdf")), filename="file")
+    assert R.decide_trade(named).first().trade == "Mechanical"
+
+
+def drawings(spark, ppf=9.0):
+    from tallyframe.sources.views import SCHEMAS
+
+    line = lambda a, b, c, d: [("l", [(float(a), float(b)), (float(c), float(d))])]
+    lines = [(0, (0, 0, 108, 0), [0.0] * 3), (1, (108, 0, 108, 90), [0.0] * 3), (2, (10, 120, 110, 120), [0.7] * 3)]
+    paths = [("FP.pdf", 0, k, line(*xy), c, None, 1.3, "[] 0", False, "s", float(min(xy[0], xy[2])), float(min(xy[1], xy[3])), float(max(xy[0], xy[2])), float(max(xy[1], xy[3]))) for k, xy, c in lines]
+    for k in range(4):  # four L symbols of another pen, one of them turned
+        x, y = 20.0 + 25 * k, 60.0
+        arms = [(x, y, x + 10, y), (x, y, x, y + 6)] if k < 3 else [(x, y, x, y + 10), (x, y, x + 6, y)]
+        for j, xy in enumerate(arms):
+            paths.append(("FP.pdf", 0, 10 + 2 * k + j, line(*xy), [0.0, 0.0, 1.0], None, 0.7, "[] 0", False, "s", xy[0], xy[1], xy[2], xy[3]))
+    make = lambda name, rows: spark.createDataFrame(rows, SCHEMAS[name])
+    words = [("FP.pdf", 0, 0, '2"', 50.0, 2.0, 56.0, 8.0), ("FP.pdf", 0, 1, "WC-1", 5.0, 5.0, 9.0, 9.0)]
+    return {"sheets": make("sheets", [("FP.pdf", 0, 216.0, 144.0, "", None, ppf)]), "paths": make("paths", paths), "words": make("words", words)}
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "sheet string, id string, system string, measurable boolean, confidence string, ambiguous boolean, reasoning string")
+
+
+def test_takeoff_by_system_to_files(spark, tmp_path):
+    from datetime import datetime
+
+    from tallyframe.plans import takeoff as T
+    from tallyframe.sources import sinks
+
+    d = drawings(spark)
+    said = labels_of(spark, [("FP.pdf#p0", "s0", "Pipe", True, "high", False, "black"), ("FP.pdf#p0", "s9", "Ghost", True, "high", False, "")])
+    t = T.takeoff_by_system(d, said)
+    assert [(r.system, r.lf) for r in t["totals"].collect()] == [("Pipe", 22.0)]
+    assert sorted((r.id, r.state, r.n_runs) for r in t["items"].collect())[0] == ("s0", "counted", 2)
+    folder = sinks.write_documents(t, tmp_path, " A b/c ", datetime(2024, 1, 2, 3, 4, 5))
+    assert folder.name == "A_b_c_20240102_030405"
+    assert (folder / "takeoff_by_system.csv").read_text().splitlines()[1] == "Pipe,22.0,LF,1,1,high"
+    assert "Pipe: 22.0 LF" in (folder / "diagnostics.txt").read_text()
+    half = T.takeoff_by_system(d, said, override="1/4\" = 1'-0\"")
+    assert half["totals"].first().lf == 11.0
+    none = T.takeoff_by_system(drawings(spark, None), said)
+    assert none["items"].count() == 0 and none["errors"].count() == 1
+    refined = T.takeoff_by_system(d, labels_of(spark, [("FP.pdf#p0", "s0", "Pipe?", True, "low", False, "")]), again=lambda facts: facts.select("sheet", "id", F.lit("Main").alias("system"), F.lit(True).alias("measurable"), F.lit("high").alias("confidence"), F.lit(False).alias("ambiguous"), F.lit("second look").alias("reasoning")))
+    assert refined["totals"].first().system == "Main"
+
+
+def test_takeoff_system_size_and_counts(spark, tmp_path):
+    import zipfile
+
+    from tallyframe.plans import takeoff as T
+    from tallyframe.sources import sinks
+
+    d, sheet = drawings(spark), "FP.pdf#p0"
+    pens = labels_of(spark, [(sheet, "s0", "Pipe", True, "high", False, "")])
+    nets = labels_of(spark, [(sheet, "N0", "Main", True, "medium", False, "")])
+    t = T.takeoff_system_size(d, pens, nets)
+    assert {(r.system, r.size_text): r.lf for r in t["by_system_size"].collect()} == {("Main", '2"'): 12.0, ("Main", "unsized"): 10.0, ("Main", "total"): 22.0}
+    assert [(r.id, r.sizes, r.counted) for r in t["detail"].collect()] == [("N0", '2"=12, unsized=10', True)]
+    sinks.write_system_size(t, tmp_path / "t.xlsx")
+    assert "Main — total" in zipfile.ZipFile(tmp_path / "t.xlsx").read("xl/worksheets/sheet1.xml").decode()
+    lost = T.takeoff_system_size(d, pens, nets.limit(0))
+    assert lost["by_system_size"].count() == 0 and [r.note for r in lost["review"].collect()] == ["N0: excluded — no label returned — 22 LF"]
+    c = T.takeoff_counts(d, labels_of(spark, [(sheet, "S0", "Head", True, "high", False, "")]))
+    assert [tuple(r) for r in c["by_component"].collect()] == [("Head", 4)]
+    assert [(r.id, r["count"], r["size"]) for r in c["detail"].collect()] == [("S0", 4, "1.1x0.7 ft")]
+    assert "  WC-1: 1" in list(sinks.counts_lines(c))
+    assert sinks.unique_names(["a", "b", "a", "a"]) == ["a", "b", "a_2", "a_3"]
+
+
+def test_cost(spark):
+    from tallyframe.plans import takeoff as T
+
+    prices = spark.createDataFrame([("m-4", 1.0, 5.0), ("m-4-8", 5.0, 25.0)], "name string, input_per_million double, output_per_million double")
+    asked = spark.createDataFrame([(m, 1_000_000, 100_000, b) for m, b in (("m-4", False), ("m-4-8-fast", True), ("m-4-80", False), ("x", False))], "model string, input_tokens long, output_tokens long, batch boolean")
+    assert {r.model: r.cost for r in T.cost(asked, prices).collect()} == {"m-4": 1.5, "m-4-8-fast": 3.75, "m-4-80": 1.5, "x": None}
