@@ -283,3 +283,28 @@ def test_pseudonyms_of_long_tokens_and_clashing_names(spark):
     got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, "k").collect()}
     assert [got[i].text for i in (0, 1, 2, 4)] == [rows[i][1] for i in (0, 1, 2, 4)]
     assert got[3].n_found == {"email": 1, "number": 1} and "000-00-0000 (000) 000-0000" in got[3].text and got[3].hits == 7 and got[3]["a.b"] == 8
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    base = words(120)
+    rows = [(k, words(60), "en", "ab"[k % 2], 1) for k in range(30)] + [(40, base, "en", "a", 1), (41, base + " end", "en", None, 1), (42, base, None, "b", None), (43, None, None, None, None), (44, "", "en", "a", 0), (45, "x " * 500, "en", "a", 1), (46, words(50) + " card 4068516892505468", "en", "a", 1), (None, words(40), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = pipe.rule_stage(spark, docs, str(tmp_path))
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == pipe.COLUMNS and {43, 44, 45}.isdisjoint(ids) and len(ids & set(range(30))) >= 28
+    alone = pipe.near_copy_stage(spark, docs, str(tmp_path))
+    left = [r.doc_id for r in alone.collect()]
+    assert alone.columns == pipe.COLUMNS and 40 in left and 41 not in left and 42 not in left and set(range(30)) <= set(left) and None in left
+    hidden = {r.doc_id: r.text for r in pipe.privacy_stage(spark, docs, str(tmp_path)).collect()}
+    assert len(hidden) == len(rows) and "4068516892505468" not in hidden[46] and hidden[40] == base and hidden[43] is None
+    mixed = pipe.mixing_stage(spark, docs, str(tmp_path))
+    assert mixed.columns == pipe.COLUMNS and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
+    packed = pipe.packing_stage(spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in packed}.values())
+    for _, stage in pipe.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
