@@ -18,8 +18,10 @@ threshold.
   n-grams with; an n-gram's leader is the class whose first n-grams are shared
   most widely (the text that a group's copies come from), then the class that
   has it earliest.  They are linear in the input, and join most near copies.
-* Round 3 tests every pair left that shares enough first n-grams, passes the
-  length and position bounds and is not yet in one component.  A pair skipped
+* Round 3 orders the first n-grams that are still shared across components
+  anew, rarest first, and tests every pair left that meets in one with as many
+  after it as the two must share, passes the length bound and is not yet in one
+  component.  A pair skipped
   because it is in one component already cannot change a component, so the
   components are exact.
 * Whole texts of the classes that share anything are fetched once; a test makes
@@ -42,6 +44,8 @@ from .common import components, forget, materialize, slices, text_bytes, text_ke
 from .repeats import _rolling, mix
 
 FREQUENT, ROUTE = 1 << 18, 1 << 20
+#: Classes that meet in one n-gram in one task, on either side; more are dealt to several.
+CROWD = 1 << 14
 #: A first n-gram on its way: 48 bits of it, its class, the share of the set from its place on.
 ROW = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<i8"), ("rest", "u1")])
 HEAVY = np.uint64(1 << 63)
@@ -324,6 +328,24 @@ def _shares(na, nb, percent: int):
     return F.greatest(least - F.ceil(F.greatest(na, nb) * percent / 100) + 1, F.lit(1))
 
 
+def _rarest_first(common: DataFrame, percent: int) -> DataFrame:
+    """The open first n-grams in a new order: the one that fewest open classes have comes first.
+
+    ``after`` numbers a class's n-grams from the last on.  Two sets share all
+    their common ones from the first of them on, so there both have an ``after``
+    of at least the number that they must share (``_shares``).  Rows too late
+    for a partner of any size that has the n-gram are left out."""
+    rows = common.select("t", "cls", "n", "g").distinct()
+    holders = rows.groupBy("t").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    order = Window.partitionBy("cls").orderBy(F.desc("k"), F.desc("t"))
+    rows = rows.join(holders, "t").withColumn("after", F.row_number().over(order))
+    n = F.col("n")
+    # what must be shared with a set of m n-grams, without its roundings; it falls on either side of m = n
+    least = lambda m: (n + m) * percent / (100 + percent) - F.greatest(n, m) * percent / 100
+    needed = F.least(least(F.greatest(F.col("lo"), n * percent / 100)), least(F.least(F.col("hi"), n * 100 / percent)))
+    return rows.where(F.col("after") >= needed - 1e-6).select("t", "k", "cls", "n", "g", "after")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """Link documents whose sets of ``size``-word n-grams have Jaccard >= percent / 100.
 
@@ -385,14 +407,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
         forget(common, groups)
         common = left
 
-    x, y = (common.select("t", F.col("cls").alias(k), F.col("n").alias("n" + k), F.col("rest").alias("r" + k), F.col("g").alias("g" + k)).distinct() for k in "ab")
-    pairs = x.join(y, "t").where("ga <> gb and a < b").where(_fits(F.col("na"), F.col("nb"), percent))
-    # had they no common n-gram before the first that they share, so much could still be common
-    reach = F.least(F.ceil(F.col("na") * F.col("ra") / 255), F.ceil(F.col("nb") * F.col("rb") / 255))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("count"), F.max(reach).alias("reach"))
-    pairs = pairs.where(F.col("count") >= _shares(F.col("na"), F.col("nb"), percent)).where(F.col("reach") >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent)))
-    pairs = pairs.select("a", "b").join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "pairs")
+    rare = materialize(_rarest_first(common, percent), "rare")
+    salt = F.floor(F.col("k") / CROWD)
+    x = rare.select("t", F.explode(F.sequence(F.lit(0).cast("long"), salt)).alias("salt"), *(F.col(c).alias(to) for c, to in (("cls", "a"), ("n", "na"), ("g", "ga"), ("after", "ra"))))
+    y = rare.select("t", F.pmod(F.xxhash64("cls"), salt + 1).alias("salt"), *(F.col(c).alias(to) for c, to in (("cls", "b"), ("n", "nb"), ("g", "gb"), ("after", "rb"))))
+    enough = F.least("ra", "rb") >= _shares(F.col("na"), F.col("nb"), percent)
+    pairs = x.join(y, F.expr("ga <> gb and a < b") & _fits(F.col("na"), F.col("nb"), percent) & enough & (x.t == y.t) & (x.salt == y.salt)).select("a", "b").distinct()
+    pairs = materialize(pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     crowd = pairs.groupBy("a").agg(F.count("*").alias("many"))
     found = found.union(materialize(_links(pairs.join(crowd, "a").select("a", "b", "many"), texts, percent, size, shared), "links"))
 
@@ -401,7 +422,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     degree = found.select("u").union(found.select("v")).groupBy("u").count()
     classes = reps.join(both, F.col("cls") == F.col("node"), "left").join(least_id, "component", "left").join(degree, F.col("cls") == F.col("u"), "left")
     classes = materialize(classes.select("cls", F.coalesce("least_id", "rep").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links")), "groups-2")
-    forget(common, pairs, texts, wide)
+    forget(common, rare, pairs, texts, wide)
     linked = each.where("cls is not null").join(classes, "cls")
     alone = each.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.select("doc_id", "n_shingles", "component_id", "n_links").union(alone)

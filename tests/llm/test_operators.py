@@ -54,6 +54,7 @@ def test_repeats_in_long_texts_without_hot_strings(spark, monkeypatch):
 @pytest.mark.parametrize("route", [1 << 20, 64])
 def test_jaccard(spark, monkeypatch, route):
     monkeypatch.setattr(shingles, "ROUTE", route)  # 64: many routes, and n-grams dealt to several
+    monkeypatch.setattr(shingles, "CROWD", route >> 5)
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
     rows = []
@@ -81,6 +82,29 @@ def test_jaccard(spark, monkeypatch, route):
     assert sorted(map(tuple, got)) == [(rows[i][0], len(s), rows[int(root[i])][0]) for i, s in enumerate(sets)]
 
 
+def test_last_round_meets_every_pair_that_shares_enough(spark):
+    rng, percent = random.Random(8), 75
+    rows, first = [], {}
+    for cls in range(80):
+        n = rng.choice([40, 50, 52, 53, 60, 100, 130])
+        # a few n-grams that most sets hold, and some that few do
+        own = {t for t in range(12) if rng.random() < 0.8} | {rng.randrange(12, 60) for _ in range(rng.randrange(10))}
+        first[cls] = (n, set(list(own)[: n - (percent * n + 99) // 100 + 1]))
+        rows += [(t, cls, n, cls % 7) for t in first[cls][1]]
+    rare = shingles._rarest_first(spark.createDataFrame(rows, "t long, cls long, n long, g long"), percent).collect()
+    held = {}
+    for r in rare:
+        held.setdefault(r.cls, {})[r.t] = r.after
+    pairs = 0
+    for a, b in combinations(range(80), 2):
+        (na, sa), (nb, sb) = first[a], first[b]
+        need = max(-((na + nb) * -percent // (100 + percent)) + max(na, nb) * -percent // 100 + 1, 1)
+        if a % 7 != b % 7 and 100 * min(na, nb) >= percent * max(na, nb) and len(sa & sb) >= need:
+            pairs += 1
+            assert any(min(held[a][t], held[b][t]) >= need for t in held.get(a, {}).keys() & held.get(b, {}).keys())
+    assert pairs > 50
+
+
 def test_jaccard_links_rows_without_id(spark):
     words = [f"w{k}" for k in range(200)]
     rows = [(7, " ".join(words)), (None, " ".join(words[:-1])), (9, " ".join(words[:-1] + ["x"])), (None, None), (3, "lone words that link with nothing at all")]
