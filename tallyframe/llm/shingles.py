@@ -331,14 +331,18 @@ def _shares(na, nb, percent: int):
 def _rarest_first(common: DataFrame, percent: int) -> DataFrame:
     """The open first n-grams in a new order: the one that fewest open classes have comes first.
 
-    ``after`` numbers a class's n-grams from the last on.  Two sets share all
-    their common ones from the first of them on, so there both have an ``after``
-    of at least the number that they must share (``_shares``).  Rows too late
-    for a partner of any size that has the n-gram are left out."""
+    N-grams that the same classes have (those of one passage) are one row a class,
+    named by the least of them.  ``after`` counts a class's n-grams from the last
+    on.  Two sets share all their common ones from the first of them on, so there
+    both have an ``after`` of at least the number that they must share
+    (``_shares``).  Rows too late for a partner of any size that has the n-gram
+    are left out."""
     rows = common.select("t", "cls", "n", "g").distinct()
-    holders = rows.groupBy("t").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    order = Window.partitionBy("cls").orderBy(F.desc("k"), F.desc("t"))
-    rows = rows.join(holders, "t").withColumn("after", F.row_number().over(order))
+    who = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    holders = rows.groupBy("t").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), *who)
+    bundles = holders.groupBy("k", "lo", "hi", "h0", "h1").agg(F.min("t").alias("t"), F.count("*").alias("w")).drop("h0", "h1")
+    order = Window.partitionBy("cls").orderBy(F.desc("k"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(bundles, "t").withColumn("after", F.sum("w").over(order))
     n = F.col("n")
     # what must be shared with a set of m n-grams, without its roundings; it falls on either side of m = n
     least = lambda m: (n + m) * percent / (100 + percent) - F.greatest(n, m) * percent / 100

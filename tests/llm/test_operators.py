@@ -90,12 +90,14 @@ def test_last_round_meets_every_pair_that_shares_enough(spark):
         # a few n-grams that most sets hold, and some that few do
         own = {t for t in range(12) if rng.random() < 0.8} | {rng.randrange(12, 60) for _ in range(rng.randrange(10))}
         first[cls] = (n, set(list(own)[: n - (percent * n + 99) // 100 + 1]))
+        if cls % 9 < 2:
+            first[cls][1].update({99, 100, 102})  # the same classes hold all three
         rows += [(t, cls, n, cls % 7) for t in first[cls][1]]
     rare = shingles._rarest_first(spark.createDataFrame(rows, "t long, cls long, n long, g long"), percent).collect()
-    held = {}
+    held, pairs = {}, 0
     for r in rare:
         held.setdefault(r.cls, {})[r.t] = r.after
-    pairs = 0
+    assert not {100, 102} & {r.t for r in rare}
     for a, b in combinations(range(80), 2):
         (na, sa), (nb, sb) = first[a], first[b]
         need = max(-((na + nb) * -percent // (100 + percent)) + max(na, nb) * -percent // 100 + 1, 1)
