@@ -46,6 +46,8 @@ from .repeats import _rolling, mix
 FREQUENT, ROUTE = 1 << 18, 1 << 20
 #: Classes that meet in one n-gram in one task, on either side; more are dealt to several.
 CROWD = 1 << 14
+#: N-grams before its own that a row of the last round carries, to leave out pairs that met there already.
+NEAR = 8
 #: A first n-gram on its way: 48 bits of it, its class, the share of the set from its place on.
 ROW = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<i8"), ("rest", "u1")])
 HEAVY = np.uint64(1 << 63)
@@ -336,7 +338,7 @@ def _rarest_first(common: DataFrame, percent: int) -> DataFrame:
     on.  Two sets share all their common ones from the first of them on, so there
     both have an ``after`` of at least the number that they must share
     (``_shares``).  Rows too late for a partner of any size that has the n-gram
-    are left out."""
+    are left out.  ``near`` holds the class's NEAR n-grams before the row's own."""
     rows = common.select("t", "cls", "n", "g").distinct()
     who = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"h{k}") for k in range(2)]
     holders = rows.groupBy("t").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), *who)
@@ -347,7 +349,23 @@ def _rarest_first(common: DataFrame, percent: int) -> DataFrame:
     # what must be shared with a set of m n-grams, without its roundings; it falls on either side of m = n
     least = lambda m: (n + m) * percent / (100 + percent) - F.greatest(n, m) * percent / 100
     needed = F.least(least(F.greatest(F.col("lo"), n * percent / 100)), least(F.least(F.col("hi"), n * 100 / percent)))
-    return rows.where(F.col("after") >= needed - 1e-6).select("t", "k", "cls", "n", "g", "after")
+    before = Window.partitionBy("cls").orderBy("k", "t").rowsBetween(-NEAR, -1)
+    rows = rows.where(F.col("after") >= needed - 1e-6).withColumn("near", F.collect_list("t").over(before))
+    return rows.select("t", "k", "cls", "n", "g", "after", "near")
+
+
+def _meeting(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from rows of ``_rarest_first``.
+
+    A pair meets in each n-gram that both have.  Where an n-gram near before is
+    common too, both have an ``after`` that is no smaller there, so the pair was
+    found there or before, and is left out here; it stays at its first one."""
+    salt = F.floor(F.col("k") / CROWD)
+    x = rare.select("t", F.explode(F.sequence(F.lit(0).cast("long"), salt)).alias("salt"), *(F.col(c).alias(to) for c, to in (("cls", "a"), ("n", "na"), ("g", "ga"), ("after", "ra"), ("near", "ea"))))
+    y = rare.select("t", F.pmod(F.xxhash64("cls"), salt + 1).alias("salt"), *(F.col(c).alias(to) for c, to in (("cls", "b"), ("n", "nb"), ("g", "gb"), ("after", "rb"), ("near", "eb"))))
+    enough = F.least("ra", "rb") >= _shares(F.col("na"), F.col("nb"), percent)
+    may = F.expr("ga <> gb and a < b") & _fits(F.col("na"), F.col("nb"), percent) & enough & ~F.arrays_overlap("ea", "eb")
+    return x.join(y, may & (x.t == y.t) & (x.salt == y.salt)).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -412,11 +430,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
         common = left
 
     rare = materialize(_rarest_first(common, percent), "rare")
-    salt = F.floor(F.col("k") / CROWD)
-    x = rare.select("t", F.explode(F.sequence(F.lit(0).cast("long"), salt)).alias("salt"), *(F.col(c).alias(to) for c, to in (("cls", "a"), ("n", "na"), ("g", "ga"), ("after", "ra"))))
-    y = rare.select("t", F.pmod(F.xxhash64("cls"), salt + 1).alias("salt"), *(F.col(c).alias(to) for c, to in (("cls", "b"), ("n", "nb"), ("g", "gb"), ("after", "rb"))))
-    enough = F.least("ra", "rb") >= _shares(F.col("na"), F.col("nb"), percent)
-    pairs = x.join(y, F.expr("ga <> gb and a < b") & _fits(F.col("na"), F.col("nb"), percent) & enough & (x.t == y.t) & (x.salt == y.salt)).select("a", "b").distinct()
+    pairs = _meeting(rare, percent)
     pairs = materialize(pairs.join(tested.select("a", "b").union(tested.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     crowd = pairs.groupBy("a").agg(F.count("*").alias("many"))
     found = found.union(materialize(_links(pairs.join(crowd, "a").select("a", "b", "many"), texts, percent, size, shared), "links"))

@@ -82,7 +82,7 @@ def test_jaccard(spark, monkeypatch, route):
     assert sorted(map(tuple, got)) == [(rows[i][0], len(s), rows[int(root[i])][0]) for i, s in enumerate(sets)]
 
 
-def test_last_round_meets_every_pair_that_shares_enough(spark):
+def test_last_round_meets_every_pair_that_shares_enough(spark, monkeypatch):
     rng, percent = random.Random(8), 75
     rows, first = [], {}
     for cls in range(80):
@@ -93,7 +93,11 @@ def test_last_round_meets_every_pair_that_shares_enough(spark):
         if cls % 9 < 2:
             first[cls][1].update({99, 100, 102})  # the same classes hold all three
         rows += [(t, cls, n, cls % 7) for t in first[cls][1]]
-    rare = shingles._rarest_first(spark.createDataFrame(rows, "t long, cls long, n long, g long"), percent).collect()
+    monkeypatch.setattr(shingles, "NEAR", 3)
+    monkeypatch.setattr(shingles, "CROWD", 8)
+    rare = shingles._rarest_first(spark.createDataFrame(rows, "t long, cls long, n long, g long"), percent)
+    met = {(r.a, r.b) for r in shingles._meeting(rare, percent).collect()}
+    rare = rare.collect()
     held, pairs = {}, 0
     for r in rare:
         held.setdefault(r.cls, {})[r.t] = r.after
@@ -103,6 +107,7 @@ def test_last_round_meets_every_pair_that_shares_enough(spark):
         need = max(-((na + nb) * -percent // (100 + percent)) + max(na, nb) * -percent // 100 + 1, 1)
         if a % 7 != b % 7 and 100 * min(na, nb) >= percent * max(na, nb) and len(sa & sb) >= need:
             pairs += 1
+            assert (a, b) in met
             assert any(min(held[a][t], held[b][t]) >= need for t in held.get(a, {}).keys() & held.get(b, {}).keys())
     assert pairs > 50
 
