@@ -20,6 +20,7 @@ from .geometry import components, in_cells
 MIN_PT, CAP_FT, CAP_PT, GAP_PT, GRID = 2.0, 4.0, 72.0, 1.5, 36.0
 LONG_PATHS, LONG_SHARE = 5, 0.25
 MATCH_PT, SHAPE_PT, INK_SHARE = 0.35, 0.25, 0.70
+TILE_GROW, LIGHTER = 0.5, 0.999
 #: The eight frames of a square: x' = a x + b y, y' = c x + d y.
 FRAMES = ((1, 0, 0, 1), (0, -1, 1, 0), (-1, 0, 0, -1), (0, 1, -1, 0), (-1, 0, 0, 1), (1, 0, 0, -1), (0, 1, 1, 0), (0, -1, -1, 0))
 
@@ -209,9 +210,46 @@ def _matched(core: list[tuple], parts: list[dict], anchor: dict) -> list[int] |
     return None
 
 
+def take_cores(cores: list[list[tuple]], parts: list[dict]) -> tuple[list[tuple[int, list[dict]]], list[dict]]:
+    """(core, its parts) for every placement, cores tried in order, each consuming
+    its parts as often as it fits; and the parts left over."""
+    pieces, left = [], list(parts)
+    for k, core in enumerate(cores):
+        anchor_sig = min(core, key=lambda c: abs(c[1]) + abs(c[2]))[0]
+        while used := next((u for p in left if p["sig"] == anchor_sig and (u := _matched(core, left, p))), None):
+            pieces.append((k, [left[i] for i in used]))
+            left = [p for i, p in enumerate(left) if i not in used]
+    return pieces, left
+
+
+def fully_tiled(parts: list[dict], smaller: list[list[tuple]]) -> bool:
+    """Smaller cores consume every part, and stand apart in two groups or more: the
+    parts are symbols drawn side by side, not one symbol."""
+    pieces, left = take_cores(smaller, parts)
+    if left or len(pieces) < 2:
+        return False
+    boxes = [_hull(piece) for _, piece in pieces]
+    together = [(i, j) for j, q in enumerate(boxes) for i, p in enumerate(boxes[:j]) if _boxes_meet(p, q)]
+    label = list(range(len(boxes)))
+    for i, j in together:
+        low, high = sorted((label[i], label[j]))
+        label = [low if v == high else v for v in label]
+    return len(set(label)) > 1
+
+
+def _hull(parts: list[dict]) -> dict:
+    return {side: f(p[side] for p in parts) for side, f in (("x0", min), ("y0", min), ("x1", max), ("y1", max))}
+
+
+def _boxes_meet(p: dict, q: dict) -> bool:
+    """The boxes, each grown by TILE_GROW, meet."""
+    return all(p[lo] - TILE_GROW <= q[hi] + TILE_GROW and q[lo] - TILE_GROW <= p[hi] + TILE_GROW for lo, hi in (("x0", "x1"), ("y0", "y1")))
+
+
 def find_cores(inst: list[list[dict]]) -> list[list[tuple]]:
     """Cores of one sheet, heaviest first: for each anchor, arrangements found twice or
-    more, joined where they share INK_SHARE of the larger's ink, cut to what they share."""
+    more, joined where they share INK_SHARE of the larger's ink, cut to what they share.
+    Those that smaller cores tile fully are left out."""
     by_anchor: dict[str, dict[tuple, list[list[dict]]]] = {}
     for parts in inst:
         key = tuple(sorted(p["sig"] for p in parts))
@@ -250,8 +288,11 @@ def find_cores(inst: list[list[dict]]) -> list[list[tuple]]:
                         best = kept
                 shared = best or shared
             if len(seed) > 1 or len(family) > 1:
-                cores.append((sum(map(ink, shared)), _placed(shared, _centre(_anchor(shared)), FRAMES[0])))
-    return [c for _, c in sorted(cores, key=lambda c: -c[0])]
+                cores.append((sum(map(ink, shared)), shared))
+    cores.sort(key=lambda c: -c[0])
+    placed = [_placed(parts, _centre(_anchor(parts)), FRAMES[0]) for _, parts in cores]
+    weight = [w for w, _ in cores]
+    return [mine for mine, (w, parts) in zip(placed, cores, strict=True) if not fully_tiled(parts, [c for c, v in zip(placed, weight, strict=True) if v < LIGHTER * w])]
 
 
 def match_sheet(rows: list[dict]) -> list[tuple[int, str, int]]:
@@ -264,21 +305,7 @@ def match_sheet(rows: list[dict]) -> list[tuple[int, str, int]]:
     cores = find_cores(list(inst.values()))
     out = []
     for name, parts in inst.items():
-        found: Counter = Counter()
-        left = list(parts)
-        for k, core in enumerate(cores):
-            sig = core[0][0] if core else None
-            anchor_sig = min(core, key=lambda c: abs(c[1]) + abs(c[2]))[0] if core else sig
-            again = True
-            while again and left:
-                again = False
-                for anchor in [p for p in left if p["sig"] == anchor_sig]:
-                    used = _matched(core, left, anchor)
-                    if used:
-                        left = [p for i, p in enumerate(left) if i not in used]
-                        found[k] += 1
-                        again = True
-                        break
+        found = Counter(k for k, _ in take_cores(cores, parts)[0])
         if found:
             out += [(name, f"core{k}", n) for k, n in sorted(found.items())]
         else:

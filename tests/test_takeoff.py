@@ -195,3 +195,39 @@ def test_cost(spark):
     prices = spark.createDataFrame([("m-4", 1.0, 5.0), ("m-4-8", 5.0, 25.0)], "name string, input_per_million double, output_per_million double")
     asked = spark.createDataFrame([(m, 1_000_000, 100_000, b) for m, b in (("m-4", False), ("m-4-8-fast", True), ("m-4-80", False), ("x", False))], "model string, input_tokens long, output_tokens long, batch boolean")
     assert {r.model: r.cost for r in T.cost(asked, prices).collect()} == {"m-4": 1.5, "m-4-8-fast": 3.75, "m-4-80": 1.5, "x": None}
+
+
+def part(instance, sig, x, y, size):
+    return {"instance": instance, "sig": sig, "x0": x, "y0": y, "x1": x + size, "y1": y + size}
+
+
+def head(instance, x, y):
+    return [part(instance, "ring", x, y, 10.0), part(instance, "dot", x + 3, y + 3, 2.0)]
+
+
+def letter(instance, x, y):
+    return [part(instance, "bar", x, y, 6.0), part(instance, "stem", x + 1, y + 1, 4.0)]
+
+
+def test_cores_of_symbols_drawn_with_their_label():
+    """Heads alone, labels alone, and both fused: the fused pair is no core of its own."""
+    rows = [p for k in range(3) for p in head(k, 100.0 * k, 0.0)]
+    rows += [p for k in range(3) for p in letter(10 + k, 100.0 * k, 50.0)]
+    fused = [p for k in range(4) for p in head(20 + k, 100.0 * k, 90.0) + letter(20 + k, 100.0 * k + 12, 92.0)]
+    got = Y.match_sheet(rows + fused)
+    keys = {i: sorted((key, n) for j, key, n in got if j == i) for i, *_ in got}
+    heads, letters = keys[0], keys[10]
+    assert len(heads) == len(letters) == 1 and heads != letters
+    assert all(keys[k] == heads for k in (1, 2)) and all(keys[10 + k] == letters for k in (1, 2))
+    assert all(keys[20 + k] == sorted(heads + letters) for k in range(4))
+    # without heads and labels of their own the pair is one symbol
+    assert {key for _, key, _ in Y.match_sheet(fused)} == {"core0"}
+
+
+def test_core_whose_pieces_touch_stays():
+    parts = head(0, 0.0, 0.0) + letter(0, 4.0, 4.0)
+    small = [Y._placed(p, Y._centre(Y._anchor(p)), Y.FRAMES[0]) for p in (head(1, 0.0, 0.0), letter(1, 0.0, 0.0))]
+    assert not Y.fully_tiled(parts, small)
+    assert not Y.fully_tiled(head(0, 0.0, 0.0) + letter(0, 10.9, 0.0), small)
+    assert Y.fully_tiled(head(0, 0.0, 0.0) + letter(0, 11.5, 0.0), small)
+    assert not Y.fully_tiled(head(0, 0.0, 0.0) + letter(0, 11.5, 0.0), small[:1])
