@@ -7,15 +7,22 @@ to grid cells and joined on (sheet, cell), then tested exactly.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 
+#: Ends and segments tested at a time.
+PAIRS = 1 << 20
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder of spark.checkpoint.dir; where
     none is set (a single machine), in a folder of the session's own, set there."""
@@ -27,7 +34,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
         where = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # releases the shuffles of what is written
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +73,20 @@ def around(df: DataFrame, px: str, py: str, radius: float, size: float) -> DataF
     return out.withColumn("cy", F.explode(cells(F.col(py) - radius, F.col(py) + radius, size)))
 
 
+def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Least of 0..n-1 that the edges (u, v) lead to, for each."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while not np.array_equal(jumped := label[label], label):
+            label = jumped
+        open_ = label[u] != label[v]
+        u, v = u[open_], v[open_]
+    return label
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sheet, node, root): root is the smallest node reachable on the sheet.
 
@@ -73,21 +96,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
 
     def run(pdf):
-        import numpy as np
         import pandas as pd
 
         ids, code = np.unique(np.concatenate([pdf.a.to_numpy(), pdf.b.to_numpy()]), return_inverse=True)
-        # each root takes the least root that an edge leads to, until nothing moves
-        label, u, v = np.arange(len(ids)), code[: len(pdf)], code[len(pdf) :]
-        while len(u):
-            low = np.minimum(label[u], label[v])
-            np.minimum.at(label, label[u], low)
-            np.minimum.at(label, label[v], low)
-            while not np.array_equal(jumped := label[label], label):
-                label = jumped
-            open_ = label[u] != label[v]
-            u, v = u[open_], v[open_]
-        return pd.DataFrame({"sheet": pdf.sheet.iloc[0], "node": ids, "root": ids[label]})
+        return pd.DataFrame({"sheet": pdf.sheet.iloc[0], "node": ids, "root": ids[_roots(code[: len(pdf)], code[len(pdf) :], len(ids))]})
 
     kinds = dict(nodes.dtypes)
     schema = f"sheet {kinds['sheet']}, node {kinds['node']}, root {kinds['node']}"
@@ -112,7 +124,7 @@ def snap(segments: DataFrame, lattice: float) -> DataFrame:
     Declarative counterpart of greedy snapping: equal on drawings whose ends lie
     within a quarter of the tolerance of each other."""
     at = lambda c: F.round(F.col(c) / lattice).cast("long")
-    s = segments.select("*", *[at(c).alias("k" + c) for c in ("x0", "y0", "x1", "y1")])
+    s = segments.repartition("sheet").select("*", *[at(c).alias("k" + c) for c in ("x0", "y0", "x1", "y1")])
     a, b = F.struct(F.col("kx0").alias("x"), F.col("ky0").alias("y")), F.struct(F.col("kx1").alias("x"), F.col("ky1").alias("y"))
     return _once(s.withColumn("n0", F.least(a, b)).withColumn("n1", F.greatest(a, b))).drop("kx0", "ky0", "kx1", "ky1")
 
@@ -150,6 +162,39 @@ def snap_greedy(segments: DataFrame, tolerance: float) -> DataFrame:
     return _once(s.groupBy("sheet", "style").applyInPandas(run, f"{kinds}, n0 long, n1 long"))
 
 
+def _gather(degrees: float):
+    """Of a sheet's segments (n0, n1: ends as nodes), a row for each run.
+
+    At a node, segments sorted by angle are joined with the next one, and the last
+    with the first: that links the same segments as all pairs do."""
+
+    def run(t):
+        t = t.combine_chunks().sort_by("seg")
+        n, style = len(t), t["style"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        node = np.r_[style, style].astype(np.int64)
+        ends = [c.combine_chunks() for c in (t["n0"], t["n1"])]
+        for part in zip(*(c.flatten() if pa.types.is_struct(c.type) else [c] for c in ends), strict=True):
+            at = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in part]), return_inverse=True)[1]
+            node = np.unique(node * (2 * n + 1) + at, return_inverse=True)[1]
+        who, angle = np.r_[np.arange(n), np.arange(n)], t["angle"].to_numpy()
+        who, node = (x[np.r_[style, style] >= 0] for x in (who, node))  # no pen: joined with nothing
+        order = np.lexsort((angle[who], node))
+        who, node = who[order], node[order]
+        bend = np.flatnonzero(node[1:] != node[:-1]) + 1
+        first, last = np.r_[0, bend][: len(node)], np.r_[bend, len(node)][: len(node)] - 1
+        near = np.flatnonzero((node[1:] == node[:-1]) & (np.abs(angle[who[1:]] - angle[who[:-1]]) <= degrees))
+        turn = 180.0 - np.abs(angle[who[last]] - angle[who[first]]) <= degrees
+        root = _roots(np.r_[who[near], who[first[turn]]], np.r_[who[near + 1], who[last[turn]]], n)
+        order = np.argsort(root, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(root[order]) != 0])
+        names = ["x0", "y0", "x1", "y1"]
+        held = pa.StructArray.from_arrays([t[c].combine_chunks().take(pa.array(order)) for c in names], names)
+        lead = t.select(["sheet", "style", "seg"]).take(pa.array(order[start]))
+        return lead.rename_columns(["sheet", "style", "run"]).append_column("segments", pa.ListArray.from_arrays(pa.array(np.r_[start, n], pa.int32()), held))
+
+    return run
+
+
 def stitch_runs(segments: DataFrame, tolerance: float = 0.5, degrees: float = 2.0, lattice: float | None = None) -> DataFrame:
     """Runs: segments of one pen that share an end and a direction, joined transitively.
 
@@ -159,25 +204,23 @@ def stitch_runs(segments: DataFrame, tolerance: float = 0.5, degrees: float = 2.
     side of the box).  Ends are snapped greedily within ``tolerance``, or to a
     ``lattice``, which needs no grouped function.
     """
+    segments = segments.where("sheet is not null")
     s = snap(segments, lattice) if lattice else snap_greedy(segments, tolerance)
-    s = settle(s.withColumn("angle", S.angle_180(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))), "snapped")
-    ends = s.select("sheet", "style", "seg", "angle", F.explode(F.array("n0", "n1")).alias("n"))
-    a = ends.select("sheet", "style", "n", F.col("seg").alias("a"), F.col("angle").alias("aa"))
-    b = ends.select("sheet", "style", "n", F.col("seg").alias("b"), F.col("angle").alias("ab"))
-    edges = a.join(b, ["sheet", "style", "n"]).where("a < b").where(S.collinear(F.col("aa"), F.col("ab"), degrees)).select("sheet", "a", "b").distinct()
-    roots = components(s.select("sheet", F.col("seg").alias("node")), edges)
-    s = s.join(roots.withColumnsRenamed({"node": "seg", "root": "run"}), ["sheet", "seg"])
-    length = S.segment_length(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    runs = s.groupBy("sheet", "style", "run").agg(
-        F.sum(length).alias("length_pt"), F.count("*").alias("segment_count"),
-        F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"), F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"),
-        F.collect_list(F.struct("seg", "x0", "y0", "x1", "y1")).alias("held"),
+    s = s.select("sheet", "style", "seg", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "n0", "n1", S.angle_180(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("angle"))
+    kinds = dict(s.dtypes)
+    schema = f"sheet {kinds['sheet']}, style {kinds['style']}, run {kinds['seg']}, segments array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    runs = s.groupBy("sheet").applyInArrow(_gather(degrees), schema)
+    each = lambda f: F.transform("segments", f)
+    lengths = F.filter(each(lambda e: S.segment_length(e["x0"], e["y0"], e["x1"], e["y1"])), lambda x: x.isNotNull())
+    runs = runs.select(
+        "sheet", "style", "run", F.when(F.size(lengths) > 0, F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x)).alias("length_pt"), F.size("segments").cast("long").alias("segment_count"),
+        F.array_min(each(lambda e: F.least(e["x0"], e["x1"]))).alias("x0"), F.array_min(each(lambda e: F.least(e["y0"], e["y1"]))).alias("y0"),
+        F.array_max(each(lambda e: F.greatest(e["x0"], e["x1"]))).alias("x1"), F.array_max(each(lambda e: F.greatest(e["y0"], e["y1"]))).alias("y1"), "segments",
     )
-    held = F.transform(F.array_sort("held"), lambda e: F.struct(e["x0"].alias("x0"), e["y0"].alias("y0"), e["x1"].alias("x1"), e["y1"].alias("y1")))
     flat = F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")
     points = F.flatten(F.transform("segments", lambda e: F.array(F.struct(F.when(flat, e["x0"]).otherwise(e["y0"]).alias("u"), e["x0"].alias("x"), e["y0"].alias("y")), F.struct(F.when(flat, e["x1"]).otherwise(e["y1"]).alias("u"), e["x1"].alias("x"), e["y1"].alias("y")))))
     tip = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
-    return runs.withColumn("segments", held).drop("held").withColumn("ends", F.array(tip(F.array_min(points)), tip(F.array_max(points))))
+    return runs.withColumn("ends", F.array(tip(F.array_min(points)), tip(F.array_max(points))))
 
 
 def run_segments(runs: DataFrame) -> DataFrame:
@@ -190,24 +233,89 @@ def without_borders(runs: DataFrame, sheets: DataFrame) -> DataFrame:
     return joined.where(~S.border_run(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "page_w", "page_h")))).drop("page_w", "page_h")
 
 
-def touching(runs: DataFrame, tolerance: float, cell: float = 36.0) -> DataFrame:
-    """Edges (sheet, a, b) where an end of run a lies within ``tolerance`` of a segment of run b.
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, value) for each whole number from lo[index] to hi[index]."""
+    many = hi - lo + 1
+    which = np.repeat(np.arange(len(lo)), many)
+    return which, lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
 
-    Only ends are tested, so crossings stay apart."""
-    ends = runs.select("sheet", F.col("run").alias("a"), F.explode("ends").alias("p")).select("sheet", "a", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-    others = walk_cells(run_segments(runs).withColumnRenamed("run", "b"), cell)
-    near = around(ends, "px", "py", tolerance, cell).join(others, ["sheet", "cx", "cy"]).where("a <> b")
-    d = S.point_segment_distance(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")))
-    return near.where(d <= tolerance + 1e-9).select("sheet", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _cells(lo: np.ndarray, hi: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    return _spread(np.floor(lo / size).astype(np.int64), np.floor(hi / size).astype(np.int64))
 
-def networks(runs: DataFrame, tolerance: float) -> DataFrame:
-    """(sheet, run, network): connected runs; networks are numbered by length, longest 0."""
-    roots = components(runs.select("sheet", F.col("run").alias("node")), touching(runs, tolerance)).withColumnRenamed("node", "run")
-    joined = runs.join(roots, ["sheet", "run"])
-    total = joined.groupBy("sheet", "root").agg(F.sum("length_pt").alias("t"))
-    rank = F.row_number().over(Window.partitionBy("sheet").orderBy(F.desc("t"), "root")) - 1
-    return joined.join(total.withColumn("network", rank), ["sheet", "root"]).select("sheet", "run", "network")
+
+def _walk(x0, y0, x1, y1, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, cell) as walk_cells deals them, for one sheet."""
+    slack = 1e-6
+    flat = np.abs(x1 - x0) >= np.abs(y1 - y0)
+    u0, u1, v0, v1 = (np.where(flat, a, b) for a, b in ((x0, y0), (x1, y1), (y0, x0), (y1, x1)))
+    i, cu = _cells(np.minimum(u0, u1) - slack, np.maximum(u0, u1) + slack, size)
+    du, dv = (u1 - u0)[i], (v1 - v0)[i]
+    share = lambda u: np.clip(np.divide(u - u0[i], du, out=np.zeros(len(i)), where=du != 0), 0.0, 1.0)
+    a, b = v0[i] + dv * share(cu * size - slack), v0[i] + dv * share((cu + 1) * size + slack)
+    k, cv = _cells(np.minimum(a, b) - slack, np.maximum(a, b) + slack, size)
+    i, cu = i[k], cu[k]
+    return i, np.where(flat[i], cu, cv) * (1 << 32) + np.where(flat[i], cv, cu)
+
+
+def _touching(px, py, who, x0, y0, x1, y1, owner, tolerance: float, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) on one sheet where a point of run a lies within ``tolerance`` of a segment of run b.
+
+    Only ends are given as points, so crossings stay apart."""
+    i, cell = _walk(x0, y0, x1, y1, size)
+    order = np.argsort(cell, kind="stable")
+    i, cell = i[order], cell[order]
+    p, cx = _cells(px - tolerance, px + tolerance, size)
+    k, cy = _cells(py[p] - tolerance, py[p] + tolerance, size)
+    p, key = p[k], cx[k] * (1 << 32) + cy
+    lo, hi = np.searchsorted(cell, key, "left"), np.searchsorted(cell, key, "right")
+    done, found = np.cumsum(hi - lo), []
+    cut = np.searchsorted(done, np.arange(0, done[-1] if len(done) else 0, PAIRS), "right")
+    for s, e in zip(cut, np.r_[cut[1:], len(done)], strict=True):
+        at, near = _spread(lo[s:e], hi[s:e] - 1)
+        q, g = p[s + at], i[near]
+        other = who[q] != owner[g]
+        q, g = q[other], g[other]
+        dx, dy = x1[g] - x0[g], y1[g] - y0[g]
+        square = dx * dx + dy * dy
+        t = np.clip(np.divide((px[q] - x0[g]) * dx + (py[q] - y0[g]) * dy, square, out=np.zeros(len(q)), where=square != 0), 0.0, 1.0)
+        meet = np.hypot(px[q] - (x0[g] + t * dx), py[q] - (y0[g] + t * dy)) <= tolerance + 1e-9
+        found.append(np.unique(np.stack([who[q[meet]], owner[g[meet]]]), axis=1))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _joined(tolerance: float, cell: float):
+    """Of a sheet's runs, each with the least run that touching ones lead to."""
+
+    def run(t):
+        t = t.combine_chunks().sort_by("run")
+
+        def parts(name: str, fields: list[str]):
+            lists = t[name].combine_chunks()
+            flat = lists.flatten()
+            cols = [flat.field(flat.type.get_field_index(f)).to_numpy(zero_copy_only=False) for f in fields]
+            whole = np.logical_and.reduce([np.isfinite(c) for c in cols])
+            return [c[whole] for c in cols] + [np.repeat(np.arange(len(t)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[whole]]
+
+        a, b = _touching(*parts("ends", ["x", "y"]), *parts("segments", ["x0", "y0", "x1", "y1"]), tolerance, cell)
+        root = _roots(a, b, len(t))
+        return t.select(["sheet", "run", "length_pt"]).append_column("root", t["run"].combine_chunks().take(pa.array(root)))
+
+    return run
+
+
+def networks(runs: DataFrame, tolerance: float, cell: float = 36.0, lengths: bool = False) -> DataFrame:
+    """(sheet, run, network): connected runs; networks are numbered by length, longest 0.
+
+    Two runs touch where an end of one lies within ``tolerance`` of the other.  A
+    sheet is joined in one task, so the cells of its segments are never
+    shuffled.  ``lengths``: with length_pt of the run."""
+    kinds = dict(runs.dtypes)
+    schema = f"sheet {kinds['sheet']}, run {kinds['run']}, length_pt double, root {kinds['run']}"
+    joined = runs.where("sheet is not null").select("sheet", "run", "length_pt", "ends", "segments").groupBy("sheet").applyInArrow(_joined(tolerance, cell), schema)
+    total = joined.repartition("sheet").withColumn("t", F.sum("length_pt").over(Window.partitionBy("sheet", "root")))
+    rank = F.dense_rank().over(Window.partitionBy("sheet").orderBy(F.desc("t"), "root")) - 1
+    return total.withColumn("network", rank).select("sheet", "run", "network", *["length_pt"] * lengths)
 
 
 def nearest_tag(runs: DataFrame, tags: DataFrame, radius: float, cell: float = 36.0) -> DataFrame:

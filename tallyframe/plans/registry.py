@@ -220,9 +220,9 @@ sums AS (SELECT p.sheet, n.net, count(DISTINCT p.run) AS n_runs, sum(sqrt(2) * (
 SELECT sheet, count(*) AS n_networks, CAST(sum(n_runs) AS BIGINT) AS n_runs, CAST(max(n_runs) AS BIGINT) AS most_runs, round(max(lf), 3) AS largest_lf FROM sums GROUP BY sheet""", ("tk_slants",))
 def slant_networks(spark, sf_dir):
     """Runs and networks of rising and falling lines, where a run's box says little."""
-    s = view(spark, sf_dir, "tk_slants").withColumn("seg", F.xxhash64("sheet", "style", "x0", "y0", "x1", "y1"))
+    s = view(spark, sf_dir, "tk_slants").repartition("sheet").withColumn("seg", F.xxhash64("sheet", "style", "x0", "y0", "x1", "y1"))
     runs = G.settle(G.stitch_runs(s.select("sheet", "style", "seg", "x0", "y0", "x1", "y1"), lattice=9.0), "runs")
-    feet = runs.join(G.settle(G.networks(runs, TOLERANCE_PT), "networks"), ["sheet", "run"]).groupBy("sheet", "network").agg(F.count("*").alias("n_runs"), (F.sum("length_pt") / 9).alias("lf"))
+    feet = G.networks(runs, TOLERANCE_PT, lengths=True).groupBy("sheet", "network").agg(F.count("*").alias("n_runs"), (F.sum("length_pt") / 9).alias("lf"))
     return feet.groupBy("sheet").agg(F.count("*").alias("n_networks"), F.sum("n_runs").alias("n_runs"), F.max("n_runs").alias("most_runs"), F.round(F.max("lf"), 3).alias("largest_lf"))
 
 

@@ -1,5 +1,8 @@
 """Scalars, runs, networks, sizes and signatures against hand-made cases."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +86,45 @@ def test_slanted_lines_keep_their_ends(spark, flip):
     assert sorted(str(x.size) for x in G.nearest_tag(r, tags, 5.0).collect()) == ["2.0", "None", "None"]
 
 
+def test_networks_by_all_pairs_without_shuffled_cells(spark):
+    rng = random.Random(4)
+    rows = [(s, "p", float(x), float(y), float(x + rng.randint(-90, 90)), float(y + rng.randint(-90, 90))) for s in range(3) for x, y in ((rng.randint(-60, 300), rng.randint(-60, 300)) for _ in range(60))]
+    s = spark.createDataFrame([(a, p, k, *r) for k, (a, p, *r) in enumerate(rows)], "sheet long, style string, seg long, x0 double, y0 double, x1 double, y1 double")
+    r = G.stitch_runs(s).cache()
+    of = {}
+    for x in r.collect():
+        of.setdefault(x.sheet, []).append(x)
+
+    def gap(p, e):
+        dx, dy = e.x1 - e.x0, e.y1 - e.y0
+        t = max(0.0, min(1.0, ((p.x - e.x0) * dx + (p.y - e.y0) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(p.x - e.x0 - t * dx, p.y - e.y0 - t * dy)
+
+    expected = set()
+    for sheet, found in of.items():
+        root = {x.run: x.run for x in found}
+        links = [(a.run, b.run) for a in found for b in found if a.run != b.run and any(gap(p, e) <= 4.5 for p in a.ends for e in b.segments)]
+        for _ in found:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        expected |= {(sheet, frozenset(k for k in root if root[k] == v)) for v in set(root.values())}
+    nets = G.networks(r, 4.5)
+    got = {}
+    for x in nets.collect():
+        got.setdefault((x.sheet, x.network), set()).add(x.run)
+    assert {(sheet, frozenset(v)) for (sheet, _), v in got.items()} == expected and any(len(v) > 1 for v in got.values())
+    plan = nets._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # a sheet's cells stay in its task
+
+
+def test_runs_by_all_pairs_at_a_node(spark):
+    angles = [0.0, 1.5, 3.0, 90.0, 178.9, 40.0]
+    rows = [("a", p, 10 * i + k, 0.0, 0.0, 100 * math.cos(math.radians(d)), 100 * math.sin(math.radians(d))) for i, p in enumerate(("p", "q", None)) for k, d in enumerate(angles)]
+    s = spark.createDataFrame(rows, "sheet string, style string, seg long, x0 double, y0 double, x1 double, y1 double")
+    got = {(x.run, x.segment_count) for x in G.stitch_runs(s).collect()}
+    assert got == {(0, 4), (3, 1), (5, 1), (10, 4), (13, 1), (15, 1), *((20 + k, 1) for k in range(6))}
+
+
 def test_greedy_snapping_crosses_cells(spark):
     rows = [(0, 0, 40.24, 0), (40.26, 0, 60, 0), (40.0, 0.0, 0.0, 0.1)]
     assert [round(x.length_pt, 2) for x in runs(spark, rows).collect()] == [59.98]
