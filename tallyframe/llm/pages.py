@@ -2,12 +2,16 @@
 
 A page is read into text lines, one for each block element.  Lines inside
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles (by element, role, class or id) go.  Where the page marks its
-article (article, main, or a role or class that says so), that is the text.
-Where it does not, its remaining lines are aligned with those of the page
-nearest by URL path on the same host, by longest common subsequence, and shared
-lines go; but where more than half of a page's text is shared the two are
-copies of one article, and the lines stay.
+and styles (by element, role, class or id) go.  The other lines of every page
+are aligned with those of the page nearest by URL path on the same host, by
+longest common subsequence: shared lines are the site's, others the page's own.
+
+Structure is the second signal.  A line inside a marked article (article, main,
+or a role or class that says so) stays although shared, as articles repeat
+passages.  Beside a marked article, a page's own lines stay and shared ones go;
+without a neighbour only the article is known.  A page without a marked article
+keeps its own lines; where more than COPIES of its text is shared the two are
+copies of one article, and all lines stay.
 
 Neighbours come from one global range sort of (host, path, page_id, line
 hashes), so a host with a third of all pages is spread over tasks; the rows at
@@ -16,8 +20,10 @@ the borders of partitions meet in a second step, two for each partition.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from bisect import bisect_left
 from urllib.parse import urlsplit
 
@@ -51,6 +57,8 @@ _P_ENDS = frozenset("address article aside blockquote center details dialog dir
 _SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 _WALL = frozenset("table td th ul ol dl article main section div body html aside nav footer header form blockquote button".split())
 _BARE = frozenset("html body article main".split())
+#: A page without a marked article of which more than this share of the text is its neighbour's is a copy of it.
+COPIES = 0.5
 
 
 def text_lines(page: str) -> list[tuple[str, bool]]:
@@ -163,16 +171,22 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def without_shared(lines: list[str], mine: list[int], other: list[int] | None) -> list[str]:
-    if not other:
-        return lines
-    shared = set(common_lines(mine, other))
-    if 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
+def main_lines(lines: list[str], core: list[bool], shared: list[int] | None, copies: float = COPIES) -> list[str]:
+    """The lines that are main text; shared: indices of lines that the neighbour has too, None without one."""
+    if shared is None:
+        return [x for x, inside in zip(lines, core, strict=True) if inside] or lines
+    site = set(shared)
+    if not any(core) and sum(len(lines[i]) for i in site) > copies * sum(map(len, lines)):
         return lines
-    return [x for i, x in enumerate(lines) if i not in shared]
+    return [x for i, (x, inside) in enumerate(zip(lines, core, strict=True)) if inside or i not in site]
+
+
+def _hash(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
 def _read(batches):
+    """Pages with the hashes of their lines; body: whether each line is inside the article, and the lines, packed."""
     for batch in batches:
         urls, pages = batch.column("url"), batch.column("html")
         for a in range(0, len(batch), 512):
@@ -180,11 +194,11 @@ def _read(batches):
             for i in range(a, min(a + 512, len(batch))):
                 url = urls[i].as_py()
                 lines = text_lines(pages[i].as_py() or "")
-                core = [x for x, inside in lines if inside]
-                rest = None if core or not lines else [x for x, _ in lines]
-                rows.append((url, *place(url), "\n".join(core) if rest is None else None, rest))
+                mine = [_hash(x.encode()) for x, _ in lines]
+                body = "\n".join(["".join("01"[inside] for _, inside in lines), *(x for x, _ in lines)])
+                rows.append((url, *place(url), mine, _hash(repr(mine).encode()), zlib.compress(body.encode())))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(a, len(rows)), *(pa.array(c, k) for c, k in zip(cols, [pa.string()] * 4 + [pa.list_(pa.string())], strict=True))], ["page_id", "url", "host", "path", "text", "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(a, len(rows)), *(pa.array(c, k) for c, k in zip(cols, [pa.string()] * 3 + [pa.list_(pa.int64()), pa.int64(), pa.binary()], strict=True))], ["page_id", "url", "host", "path", "mine", "key", "body"])
 
 
 def _neighbours(batches):
@@ -232,12 +246,22 @@ def _near(path: str, side) -> int:
 
 
 def _differ(batches):
+    """Indices of each page's lines that the nearer of its neighbours on the host shares."""
     for batch in batches:
         rows = []
-        for host, path, lines, mine, before, after in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines", "mine", "before", "after")), strict=True):
+        for host, path, mine, before, after in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "mine", "before", "after")), strict=True):
             sides = [s for s in (before, after) if s is not None and s["host"] == host]
             best = max(sides, key=lambda s: _near(path, s), default=None)  # noqa: B023
-            rows.append("\n".join(without_shared(lines, mine, best and best["mine"])))
+            rows.append(best and common_lines(mine, best["mine"]))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([_hash(repr(x).encode()) for x in batch.column("mine").to_pylist()], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["p2", "u2", "key2", "shared"])
+
+
+def _texts(batches):
+    for batch in batches:
+        rows = []
+        for body, shared in zip(batch.column("body").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+            core, *lines = zlib.decompress(body).decode().split("\n")
+            rows.append("\n".join(main_lines(lines, [x == "1" for x in core], shared)) if core else "")
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(rows, pa.string())], ["page_id", "url", "text"])
 
 
@@ -252,18 +276,18 @@ def extract_text(pages: DataFrame) -> DataFrame:
     own kind (empty).  Rows that tie in URL and id are neighbours of each other.
     Repeated rows are extracted each.  Empty table: empty result.
     """
-    read = pages.select("page_id", "url", "html").mapInArrow(_read, "page_id long, url string, host string, path string, text string, lines array<string>")
+    read = pages.select("page_id", "url", "html").mapInArrow(_read, "page_id long, url string, host string, path string, mine array<long>, key long, body binary")
     read = materialize(read, "pages")
-    loose = read.where("lines is not null").withColumn("mine", F.transform("lines", lambda x: F.xxhash64(x)))
     schema = "page_id long, url string, host string, path string, mine array<long>, before struct<host:string,path:string,mine:array<long>>, after struct<host:string,path:string,mine:array<long>>, edge long, opens boolean, ends boolean"
-    ranged = loose.select("page_id", "url", "host", "path", "mine").repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url", F.hash("mine"))
+    ranged = read.where(F.size("mine") > 0).select("page_id", "url", "host", "path", "mine").repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url", F.hash("mine"))
     ranged = materialize(ranged.mapInArrow(_neighbours, schema), "neighbours")
     order = Window.orderBy("edge")  # two rows for each partition
     me = F.struct("host", "path", "mine")
     borders = ranged.where("edge is not null").withColumn("lag", F.lag(me).over(order)).withColumn("lead", F.lead(me).over(order))
     borders = borders.withColumn("before", F.coalesce("before", "lag")).withColumn("after", F.coalesce("after", "lead")).drop("lag", "lead")
-    sides = ranged.where("edge is null").union(borders).select(F.col("page_id").alias("p2"), F.col("url").alias("u2"), F.hash("mine").alias("h2"), "before", "after").dropDuplicates(["p2", "u2", "h2"])
-    joined = loose.join(sides, F.col("page_id").eqNullSafe(F.col("p2")) & F.col("url").eqNullSafe(F.col("u2")) & (F.hash("mine") == F.col("h2")), "left")
-    told = joined.select("page_id", "url", "host", "path", "lines", "mine", "before", "after").mapInArrow(_differ, "page_id long, url string, text string")
-    out = read.where("lines is null").select("page_id", "url", "text").union(told)
-    return out.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    sides = ranged.where("edge is null").union(borders)
+    shared = sides.select("page_id", "url", "host", "path", "mine", "before", "after").mapInArrow(_differ, "p2 long, u2 string, key2 long, shared array<int>")
+    shared = shared.groupBy("p2", "u2", "key2").agg(F.max("shared").alias("shared"))  # rows of one page and text
+    joined = read.join(shared, F.col("page_id").eqNullSafe(F.col("p2")) & F.col("url").eqNullSafe(F.col("u2")) & (F.col("key") == F.col("key2")), "left")
+    out = joined.select("page_id", "url", "body", "shared").mapInArrow(_texts, "page_id long, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -211,6 +211,22 @@ def test_pages():
     assert pages.common_lines([1, 2, 3, 4], [2, 9, 4]) == [1, 3]
 
 
+def test_every_page_is_differenced(spark):
+    rows = [
+        (1, "http://h.org/a/1", "<div>Site</div><div>Title one</div><article><p>Same</p><p>First</p></article><div>Bottom</div>"),
+        (2, "http://h.org/a/2", "<div>Site</div><div>Title two</div><article><p>Same</p><p>Second</p></article><div>Bottom</div>"),
+        (3, "http://h.org/a/3", "<p>Site</p><p>No article is marked here</p><p>Bottom</p>"),
+        (4, "http://alone.org/x", "<div>Site</div><article><p>Alone</p></article>"),
+        (5, "http://copy.org/x", "<p>A long copied text</p><p>x</p>"), (6, "http://copy.org/y", "<p>A long copied text</p><p>y</p>"),
+        (7, None, None), (8, "http://h.org/a/4", "<nav>Site</nav>"),
+    ]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {
+        1: "Title one\nSame\nFirst", 2: "Title two\nSame\nSecond", 3: "No article is marked here", 4: "Alone",
+        5: "A long copied text\nx", 6: "A long copied text\ny", 7: "", 8: "",
+    }
+
+
 def test_rule_statistics():
     import pyarrow as pa
 
