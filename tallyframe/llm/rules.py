@@ -1,10 +1,11 @@
 """Quality rules: statistics of each text, and an isolation forest on them.
 
 The forest's trees split random rule statistics at random places; a document
-that few splits set apart is anomalous.  Trees and threshold come from a
-bounded sample of labelled rows (SAMPLE, those of least hashed id): trees from
-rows labelled good, and the threshold as the score that at most SPARE of the
-good sample exceeds.  Statistics and scores cover every whole text.
+that few splits set apart is anomalous.  The range of the cuts comes from all
+labelled rows, the rows in each node from all that are labelled good, and the
+threshold is the score that at most SPARE of those exceed.  Nothing is sampled:
+a tree is grown on LEAF rows in the usual forest, and here a node holds as many
+of all good rows as would be among LEAF of them.  Each text is measured once.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import forget, materialize, slices, text_bytes
 from .shingles import _STEP, _U, _WORD, mix, word_hashes
 
-SAMPLE, TREES, LEAF, SPARE = 20_000, 128, 256, 0.001
+TREES, LEAF, SPARE = 128, 256, 0.001
+LEVELS = 10  # cuts from a root to the deepest leaves
 WINDOW = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_digits", "n_marks", "n_distinct", "n_lines", "n_chars", "n_symbol_words"]
@@ -89,61 +91,68 @@ def features(s: pd.DataFrame) -> np.ndarray:
     return np.sqrt(np.column_stack(shares).astype(np.float64))
 
 
+def _expected(n):
+    """Mean path in a tree of n rows; n may be a fraction or an array."""
+    n = np.asarray(n, np.float64)
+    more = np.maximum(n, 3)
+    long = 2 * (np.log(more - 1) + 0.5772156649) - 2 * (more - 1) / more
+    return np.where(n < 2, 0.0, np.where(n < 3, 1 + (n - 2) * (long - 1), long))
+
+
 @dataclass
 class Forest:
-    """Isolation trees as arrays: feature (-1 at a leaf), cut, children, path length."""
+    """Isolation trees, a row each, nodes in heap order: feature (-1 at a leaf), cut, path length."""
 
-    trees: list
+    feature: np.ndarray
+    cut: np.ndarray
+    path: np.ndarray
     threshold: float = 1.0
 
+    def nodes(self, rows: np.ndarray, tree: int) -> np.ndarray:
+        """Leaf of each row."""
+        feature, cut = self.feature[tree], self.cut[tree]
+        at = np.zeros(len(rows), np.int64)
+        going = np.flatnonzero(feature[at] >= 0)
+        while len(going):
+            node = at[going]
+            at[going] = 2 * node + 2 - (rows[going, feature[node]] < cut[node])
+            going = going[feature[at[going]] >= 0]
+        return at
+
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path), in 0..1; higher is more anomalous."""
         depth = np.zeros(len(rows))
-        for feature, cut, left, right, path in self.trees:
-            at = np.zeros(len(rows), np.int32)
-            going = np.flatnonzero(feature[at] >= 0)
-            while len(going):
-                node = at[going]
-                at[going] = np.where(rows[going, feature[node]] < cut[node], left[node], right[node])
-                going = going[feature[at[going]] >= 0]
-            depth += path[at]
-        return 2.0 ** (-depth / max(len(self.trees), 1) / _expected(LEAF))
-
-
-def _expected(n: int) -> float:
-    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-
-def grow(rows: np.ndarray, box: np.ndarray | None = None, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> Forest:
-    """Random trees over ``rows``.  A node's cut is drawn from its box (first:
-    the range of ``box``, all labelled rows), not from the range of its rows, so
-    that statistics which no good document has lead to empty leaves: short paths.
-    """
-    rng, out = np.random.default_rng(seed), []
-    box = rows if box is None or not len(box) else box
-    limit = int(np.ceil(np.log2(max(leaf, 2)))) + 2
-    for _ in range(trees if len(rows) else 0):
-        nodes: list[list] = []
-
-        def split(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
-            me = len(nodes)
-            nodes.append([-1, 0.0, 0, 0, depth + _expected(len(part))])
-            able = np.flatnonzero(high > low)
-            if depth >= limit or len(part) < 2 or not len(able):
-                return me
-            f = int(rng.choice(able))
-            cut = rng.uniform(low[f], high[f])
-            side, up, down = part[:, f] < cut, low.copy(), high.copy()
-            down[f] = up[f] = cut
-            nodes[me][:2] = [f, cut]
-            nodes[me][2] = split(part[side], low, down, depth + 1)
-            nodes[me][3] = split(part[~side], up, high, depth + 1)
-            return me
-
-        split(rows[rng.choice(len(rows), min(leaf, len(rows)), replace=False)], box.min(0), box.max(0), 0)
-        cols = list(zip(*nodes, strict=True))
-        out.append((np.array(cols[0], np.int32), np.array(cols[1]), np.array(cols[2], np.int32), np.array(cols[3], np.int32), np.array(cols[4])))
-    return Forest(out)
+        for tree in range(len(self.feature)):
+            depth += self.path[tree][self.nodes(rows, tree)]
+        return 2.0 ** (-depth / max(len(self.feature), 1) / _expected(LEAF))
+
+    def weigh(self, held: np.ndarray) -> None:
+        """End branches where too few rows are left, and set the paths; held: rows in each leaf of each tree."""
+        held = held.astype(np.float64)
+        for node in reversed(range((held.shape[1] - 1) // 2)):
+            held[:, node] += held[:, 2 * node + 1] + held[:, 2 * node + 2]
+        few = held * min(1.0, LEAF / max(held[0, 0], 1))
+        self.feature = np.where(few < 2, -1, self.feature)
+        self.path = np.floor(np.log2(np.arange(held.shape[1]) + 1)) + _expected(few)
+
+
+def plant(low: np.ndarray, high: np.ndarray, trees: int = TREES, levels: int = LEVELS, seed: int = 5) -> Forest:
+    """Random trees whose cuts are drawn from their node's box (the root's: low to
+    high, the range of all labelled rows), so that statistics which no good
+    document has lead to empty leaves: short paths."""
+    rng, size = np.random.default_rng(seed), (1 << levels + 1) - 1
+    feature, cut = np.full((trees, size), -1, np.int32), np.zeros((trees, size))
+    able = np.flatnonzero(high > low)
+    lows, highs = (np.tile(x, (trees, 1, 1)).astype(np.float64) for x in (low, high))
+    for level in range(levels if len(able) else 0):
+        here, n = slice((1 << level) - 1, (2 << level) - 1), 1 << level
+        f = rng.choice(able, (trees, n))
+        a, b = (np.take_along_axis(x, f[:, :, None], 2)[:, :, 0] for x in (lows, highs))
+        feature[:, here], cut[:, here] = f, (at := a + rng.random((trees, n)) * (b - a))
+        lows, highs = np.repeat(lows, 2, axis=1), np.repeat(highs, 2, axis=1)
+        np.put_along_axis(highs[:, 0::2], f[:, :, None], at[:, :, None], 2)
+        np.put_along_axis(lows[:, 1::2], f[:, :, None], at[:, :, None], 2)
+    return Forest(feature, cut, np.zeros(cut.shape))
 
 
 def _tables(batch):
@@ -153,41 +162,84 @@ def _tables(batch):
         yield batch.slice(a, b - a), statistics(x[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
 
 
-def _measured(batches):
-    for batch in batches:
-        for part, s in _tables(batch):
-            yield pa.RecordBatch.from_arrays([part.column("quality"), *(pa.array(s[c].to_numpy(np.int64)) for c in COUNTS + EXTRA)], ["quality", *COUNTS, *EXTRA])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spare: float = SPARE) -> Forest:
-    """Forest and threshold from at most ``sample`` labelled rows."""
-    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "quality").limit(sample).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and ints
-    kinds = ", ".join(f"{c} long" for c in COUNTS + EXTRA)
-    seen = rows.select("quality", "text").mapInArrow(_measured, f"quality int, {kinds}").toPandas()
-    seen = seen[~base_failed(seen)].sort_values(list(seen.columns)).reset_index(drop=True)
-    good = features(seen[seen.quality > 0])
-    forest = grow(good, features(seen))
-    if len(good):
-        scores = np.sort(forest.score(good))
-        forest.threshold = float(scores[min(len(scores) - 1, int(np.ceil(len(scores) * (1 - spare))))])
+def _measured(carried: list[str]):
+    def run(batches):
+        for batch in batches:
+            for part, s in _tables(batch):
+                cols = [*(pa.array(s[c].to_numpy(np.int64)) for c in COUNTS + EXTRA), pa.array(base_failed(s)), *(part.column(c) for c in carried)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", *COUNTS, *EXTRA, "base_failed", *carried])
+
+    return run
+
+
+def _features(batch) -> np.ndarray:
+    return features(pd.DataFrame({c: batch.column(c).to_numpy() for c in COUNTS + EXTRA}))
+
+
+def _ranges(batches):
+    """Least and greatest features of a task's rows."""
+    both = [(x.min(0), x.max(0)) for x in map(_features, batches) if len(x)]
+    if both:
+        low, high = np.min([a for a, _ in both], axis=0), np.max([b for _, b in both], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64()))], ["low", "high"])
+
+
+def _held(shared):
+    """Rows in each leaf of each tree."""
+
+    def run(batches):
+        forest = shared.value
+        size = forest.feature.shape[1]
+        total = np.zeros(forest.feature.size, np.int64)
+        for batch in batches:
+            x = _features(batch)
+            for tree in range(len(forest.feature)):
+                total[tree * size : (tree + 1) * size] += np.bincount(forest.nodes(x, tree), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["leaf", "n"])
+
+    return run
+
+
+def _scores(shared):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.score(_features(batch)))], ["anomaly"])
+
+    return run
+
+
+def fit(measured: DataFrame, labels: DataFrame, spare: float = SPARE) -> Forest:
+    """Forest and threshold from all labelled rows that pass the base rule; the
+    driver sees a row for each task and each leaf, and the ``spare`` highest scores."""
+    grades = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    seen = materialize(measured.where("not base_failed").select("doc_id", *COUNTS, *EXTRA).join(grades, "doc_id").drop("doc_id"), "labelled")
+    good, context = seen.where("quality > 0"), measured.sparkSession.sparkContext
+    n = good.count()
+    if not n:
+        return Forest(*(np.zeros((0, 1)) for _ in range(3)))
+    box = seen.mapInArrow(_ranges, "low array<double>, high array<double>").collect()
+    forest = plant(np.min([r.low for r in box], axis=0), np.max([r.high for r in box], axis=0))
+    rows = good.mapInArrow(_held(context.broadcast(forest)), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    held = np.zeros(forest.feature.size, np.int64)
+    held[rows.leaf.to_numpy()] = rows.n.to_numpy()
+    forest.weigh(held.reshape(forest.feature.shape))
+    top = n - min(n - 1, int(np.ceil(n * (1 - spare))))
+    scores = good.mapInArrow(_scores(context.broadcast(forest)), "anomaly double")
+    forest.threshold = scores.orderBy(F.desc("anomaly")).limit(top).agg(F.min("anomaly")).first()[0]
+    forget(seen)
     return forest
 
 
-def _judge(shared, carry: bool):
+def _judge(shared, carried: list[str]):
     def run(batches):
         forest = shared.value
         for batch in batches:
-            for part, s in _tables(batch):
-                failed, score = base_failed(s), forest.score(features(s))
-                cols = [part.column("doc_id"), *(pa.array(s[c].to_numpy(np.int64)) for c in COUNTS), pa.array(failed), pa.array(~failed & (score <= forest.threshold)), pa.array(score)]
-                names = ["doc_id", *COUNTS, "base_failed", "kept", "anomaly"]
-                for extra in ("lang", "source", "n_chars", "text"):
-                    if extra in part.schema.names and carry:
-                        cols.append(part.column(extra))
-                        names.append(extra)
-                yield pa.RecordBatch.from_arrays(cols, names)
+            score = forest.score(_features(batch))
+            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
+            names = ["doc_id", *COUNTS, "base_failed"]
+            cols = [*(batch.column(c) for c in names), pa.array(~failed & (score <= forest.threshold)), pa.array(score), *(batch.column(c) for c in carried)]
+            yield pa.RecordBatch.from_arrays(cols, [*names, "kept", "anomaly", *carried])
 
     return run
 
@@ -204,9 +256,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, carry: bool = False) -> Da
     judged each; labels with null ids or grades are left out, and of repeated
     labels one is used.  Empty table: empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
-    more = ["lang", "source", "n_chars"] if carry else []
-    if carry:
-        schema += ", lang string, source string, n_chars long, text string"
-    return docs.select("doc_id", *more, "text").mapInArrow(_judge(shared, carry), schema)
+    kinds = {"lang": "string", "source": "string", "n_chars": "long", "text": "string"} if carry else {}
+    carried = [f"{c}_" if c in COUNTS + EXTRA else c for c in kinds]  # n_chars is a statistic too
+    more = [F.col(c).alias(x) for c, x in zip(kinds, carried, strict=True) if c != "text"]
+    extra = "".join(f", {x} {t}" for x, t in zip(carried, kinds.values(), strict=True))
+    longs = lambda names: ", ".join(f"{c} long" for c in names)
+    measured = docs.select("doc_id", *more, "text").mapInArrow(_measured(carried), f"doc_id long, {longs(COUNTS + EXTRA)}, base_failed boolean{extra}")
+    measured = materialize(measured, "measured")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(measured, labels))
+    out = measured.mapInArrow(_judge(shared, carried), f"doc_id long, {longs(COUNTS)}, base_failed boolean, kept boolean, anomaly double{extra}")
+    return out.withColumnsRenamed({x: c for c, x in zip(kinds, carried, strict=True) if c != x})

@@ -238,6 +238,26 @@ def test_rule_statistics():
     assert s.n_symbols.tolist() == [0, 0, 2, 0] and s.n_dup_lines.tolist() == [0, 0, 1, 0] and s.n_repeat_words.tolist() == [10, 0, 0, 0]
 
 
+def test_rules_are_fitted_on_every_labelled_row(spark):
+    rng = random.Random(3)
+    text = lambda i: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 60))) + ("#" * (i % 7))
+    docs, grades = [(i, text(i)) for i in range(600)], [(i, int(i % 5 > 0)) for i in range(500)] + [(3, 1), (None, 1), (4, None)]
+    docs += [(900, None), (901, "#" * 400 + " a b c d e f g h i j"), (902, "$ " * 40)]
+    labels = spark.createDataFrame(grades, "doc_id long, quality int")
+    got = {r.doc_id: r for r in rules.quality_rules(docs_of(spark, docs), labels).collect()}
+    good = sorted(got[i].anomaly for i in range(500) if i % 5)
+    assert not got[900].kept and not got[901].kept and not got[902].kept and sum(not got[i].kept for i in range(500) if i % 5) <= 1
+    # the threshold and the rows held by the trees are those of all good rows, counted plainly
+    table = rules.statistics(*rules.text_bytes(__import__("pyarrow").array([t for _, t in docs])))
+    x, g = rules.features(table), [i for i in range(500) if i % 5]
+    forest = rules.plant(x[:500].min(0), x[:500].max(0))
+    held = np.stack([np.bincount(forest.nodes(x[g], t), minlength=forest.feature.shape[1]) for t in range(rules.TREES)])
+    assert (held.sum(1) == len(g)).all()
+    forest.weigh(held)
+    assert [got[i].anomaly for i in range(600)] == pytest.approx(forest.score(x)[:600].tolist())
+    assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if not r.base_failed and r.anomaly <= good[-1]}
+
+
 def test_grades_are_ordered():
     rng = np.random.default_rng(0)
     grade = rng.integers(0, 3, 600)
