@@ -16,6 +16,10 @@ not its rank, and suffixes leave as soon as their fate is known:
    it is unique, none of them repeats.
 4. The blocks left are sorted to full depth, one row for each window.
 
+The same passes over words in place of bytes find the passages of PASSAGE words
+or more that another document holds too, which are often shorter than ``depth``
+bytes; they are counted, not removed.
+
 Counts are combined before each shuffle, so a string found in a third of all
 documents costs a row for each task, and hot strings are joined apart.  Nothing
 is sampled or capped.
@@ -30,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, text_bytes, text_key
+from .common import forget, materialize, slices, text_bytes, text_key
 
 DEPTH, SEED, BLOCK = 400, 256, 16
+#: The same for passages, in words: over 50 of them.
+PASSAGE, PASSAGE_SEED, PASSAGE_BLOCK = 51, 24, 4
 #: A digit or text of more than 1 / HOT of all rows is hot: it is joined by broadcast (HOT rows at most), not gathered.
 HOT = 4096
 CHUNK = 1 << 16
@@ -53,7 +59,8 @@ class _Rolling:
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x) + 1, _U)
-        np.cumsum(self.table[x] * self.power[: len(x)], out=out[1:])
+        values = self.table[x] if x.dtype == np.uint8 else mix(x ^ self.table[0])
+        np.cumsum(values * self.power[: len(x)], out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -74,6 +81,38 @@ def _rolling(size: int) -> tuple[_Rolling, _Rolling]:
     return _cache[size]
 
 
+def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, offsets in words) of an Arrow string array, null as empty."""
+    x, offs = text_bytes(column)
+    space = (x == 0x20) | ((x >= 9) & (x <= 13))
+    after, before = np.ones(len(x) + 1, bool), np.ones(len(x) + 1, bool)
+    after[1:], before[:-1] = space, space
+    after[offs] = before[offs] = True
+    lo, hi = np.flatnonzero(after[:-1] & ~space), np.flatnonzero(before[1:] & ~space) + 1
+    out, rolling, a = np.zeros(len(lo), _U), _rolling(CHUNK)[0], 0
+    while a < len(lo):
+        b = int(np.searchsorted(hi, lo[a] + CHUNK, "right"))
+        if b == a:  # a word of over CHUNK bytes
+            out[a] = int.from_bytes(hashlib.blake2b(x[lo[a] : hi[a]].tobytes(), digest_size=8).digest(), "little")
+            a += 1
+            continue
+        with np.errstate(over="ignore"):
+            out[a:b] = rolling.of(rolling.sums(x[lo[a] : hi[b - 1]]), lo[a:b] - lo[a], hi[a:b] - lo[a])
+        a = b
+    return out, np.searchsorted(lo, offs)
+
+
+def _units(batches, words: bool):
+    """(rows, their bytes or word hashes, offsets); words a bounded number of bytes of text at a time."""
+    for batch in batches:
+        if not words:
+            yield batch, *text_bytes(batch.column("text"))
+            continue
+        for a, b in slices(text_bytes(batch.column("text"))[1], 4 << 20):
+            part = batch.slice(a, b - a)
+            yield part, *word_hashes(part.column("text"))
+
+
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     n = len(a)
     b = np.concatenate([a, np.full((-n) % w, _U(2**64 - 1))]).reshape(-1, w)
@@ -83,7 +122,7 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def _pieces(offs: np.ndarray, depth: int):
-    """(lo, hi, first, last) byte ranges of about CHUNK bytes: whole documents, or overlapping parts of one."""
+    """(lo, hi, first, last) ranges of about CHUNK bytes or words: whole documents, or overlapping parts of one."""
     a, n = 0, len(offs) - 1
     while a < n:
         if offs[a + 1] - offs[a] > CHUNK:
@@ -130,10 +169,9 @@ def _runs(x: np.ndarray, offs: np.ndarray, depth: int, seed: int):
         yield d, p + lo - offs[d], shape.astype(np.int32), digit[p].view(np.int64), h1.view(np.int64), h2.view(np.int64)
 
 
-def _scan(depth: int, seed: int):
+def _scan(depth: int, seed: int, words: bool):
     def run(batches):
-        for batch in batches:
-            x, offs = text_bytes(batch.column("text"))
+        for batch, x, offs in _units(batches, words):
             for d, p, shape, g, s1, s2 in _runs(x, offs, depth, seed):
                 take = pa.array(d)
                 cols = [batch.column("doc_id").take(take), batch.column("tk").take(take), *map(pa.array, (p, shape, g, s1, s2))]
@@ -142,18 +180,17 @@ def _scan(depth: int, seed: int):
     return run
 
 
-def _contexts(depth: int):
-    """Text of the listed runs of each document."""
+def _contexts(depth: int, words: bool):
+    """Text of the listed runs of each document; of words, their hashes and whose they are."""
 
     def run(batches):
-        for batch in batches:
-            x, offs = text_bytes(batch.column("text"))
+        for batch, x, offs in _units(batches, words):
             runs = batch.column("runs").to_pylist()
             out = []
             for d, found in enumerate(runs):
                 for r in found:
                     far, near = divmod(r["shape"], 4096)
-                    out.append((r["s1"], r["s2"], far, near, r["many"], x[offs[d] + r["p"] - far : offs[d] + r["p"] - near + depth].tobytes()))
+                    out.append((r["s1"], r["s2"], far, near, r["many"], x[offs[d] + r["p"] - far : offs[d] + r["p"] - near + depth].tobytes(), *([r["who"]] if words else [])))
                     if len(out) >= 20_000:
                         yield _batch(out)
                         out = []
@@ -165,25 +202,26 @@ def _contexts(depth: int):
 
 def _batch(rows):
     cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["s1", "s2", "far", "near", "many", "ctx"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64()][: len(cols)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["s1", "s2", "far", "near", "many", "ctx", "who"][: len(cols)])
 
 
-def _pass(depth: int, block: int):
+def _pass(depth: int, block: int, listed: int, words: bool):
     """A radix pass over the runs' texts.
 
     A window at distance o before the seed is in block o // block.  Its digit is
     the text common to the block's windows (block 1: the window itself).  Rows:
-    (w1, w2, s1, s2, b, many); with a column ``left``, only for listed blocks of
-    BLOCK windows."""
+    (w1, w2, s1, s2, b, many), of words also who; with a column ``left``, only for
+    the blocks of ``listed`` windows in it."""
+    unit = np.dtype(_U if words else np.uint8)
 
     def run(batches):
         r1, r2 = _rolling(CHUNK + depth)
         for batch in batches:
             data = batch.column("ctx").cast(pa.large_binary())
             _, offsets, raw = data.buffers()
-            offs = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1]
-            x = np.frombuffer(raw, np.uint8)
+            offs = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1] // unit.itemsize
+            x = np.frombuffer(raw, unit, offs[-1])
             s1, s2 = batch.column("s1").to_numpy(), batch.column("s2").to_numpy()
             far, near = batch.column("far").to_numpy().astype(np.int64), batch.column("near").to_numpy().astype(np.int64)
             many = batch.column("many").to_numpy(zero_copy_only=False)
@@ -199,8 +237,8 @@ def _pass(depth: int, block: int):
                 else:
                     part = left.slice(a, b - a)
                     n = part.value_lengths().to_numpy()
-                    who = np.repeat(np.repeat(np.arange(a, b), n), BLOCK)
-                    place = (part.flatten().to_numpy().astype(np.int64)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                    who = np.repeat(np.repeat(np.arange(a, b), n), listed)
+                    place = (part.flatten().to_numpy().astype(np.int64)[:, None] * listed + np.arange(listed)).ravel()
                     inside = (place >= near[who]) & (place <= far[who])
                     who, place = who[inside], place[inside]
                 # the block's windows start between these distances before the seed
@@ -209,45 +247,57 @@ def _pass(depth: int, block: int):
                 with np.errstate(over="ignore"):
                     w1 = mix(r1.of(r1.sums(y), lo, hi) + place.astype(_U)).view(np.int64)
                     w2 = r2.of(r2.sums(y), lo, hi).view(np.int64)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, (w1, w2, s1[who], s2[who], place.astype(np.int32), many[who]))), ["w1", "w2", "s1", "s2", "b", "many"])
+                cols = {"w1": w1, "w2": w2, "s1": s1[who], "s2": s2[who], "b": place.astype(np.int32), "many": many[who]}
+                if words:
+                    cols["who"] = batch.column("who").to_numpy()[who]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols.values())), list(cols))
                 a = b
 
     return run
 
 
+def _joined(cell) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the union of a cell's intervals."""
+    if not cell.is_valid or not len(cell.values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo, hi = cell.values.field("lo").to_numpy(), cell.values.field("hi").to_numpy()
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.r_[True, lo[1:] > hi[:-1]]
+    return lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]]
+
+
 def _cut(batches):
-    """Digest of what is left of each text without the union of its intervals."""
+    """Digest of what is left of each text without the union of its intervals, and its passages."""
     for batch in batches:
         x, offs = text_bytes(batch.column("text"))
-        found, out = batch.column("found"), []
+        found, passages, out = batch.column("found"), batch.column("passages"), []
         for d in range(len(batch)):
-            y, keep, spans, gone, at = x[offs[d] : offs[d + 1]], [], 0, 0, 0
-            cell = found[d].values if found[d].is_valid else None
-            if cell is not None and len(cell):
-                lo, hi = cell.field("lo").to_numpy(), cell.field("hi").to_numpy()
-                order = np.argsort(lo, kind="stable")
-                lo, hi = lo[order], np.maximum.accumulate(hi[order])
-                new = np.r_[True, lo[1:] > hi[:-1]]
-                lo, hi = lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]]
-                spans, gone = len(lo), int((hi - lo).sum())
-                for s, e in zip(lo, hi, strict=True):
-                    keep.append(y[at:s].tobytes())
-                    at = e
+            y, keep, at = x[offs[d] : offs[d + 1]], [], 0
+            lo, hi = _joined(found[d])
+            for s, e in zip(lo, hi, strict=True):
+                keep.append(y[at:s].tobytes())
+                at = e
             keep.append(y[at:].tobytes())
             rest = b"".join(keep)
-            out.append((len(y), gone, spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            first, last = _joined(passages[d])
+            out.append((len(y), int((hi - lo).sum()), len(lo), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"), len(first), int((last - first).sum())))
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "n_passages", "n_passage_words"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, seed: int = SEED, words: bool = False) -> DataFrame:
     """(doc_id, tk, found): the byte intervals of each text that repeated windows cover.
 
     Documents without any are absent; intervals may overlap.  tk is text_key.
+    With ``words``, depth, seed and intervals are in words, and a window repeats if
+    another document (another id or text) holds it, not if the same one does again.
     """
+    block = PASSAGE_BLOCK if words else BLOCK
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("tk"))
-    runs = docs.mapInArrow(_scan(depth, seed), "doc_id long, tk long, p long, shape int, g long, s1 long, s2 long")
+    runs = docs.mapInArrow(_scan(depth, seed, words), "doc_id long, tk long, p long, shape int, g long, s1 long, s2 long")
     every = materialize(runs, "runs")
     rows = every.groupBy("g").agg(F.count("*").alias("rows"))
     hot = materialize(rows.where(F.col("rows") > max(every.count() / HOT, 1)).select("g"), "hot-digits")  # HOT rows at most
@@ -255,28 +305,32 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
     runs = every.join(F.broadcast(hot), "g").union(every.join(F.broadcast(hot), "g", "left_anti").join(shared, "g").select("g", *[c for c in every.columns if c != "g"]))
     runs = materialize(runs, "repeated-runs")
     forget(every)
-    kinds = materialize(runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "p", "shape")).alias("at")), "distinct-runs")
+    who = F.xxhash64("doc_id", "tk")
+    many = F.min(who) != F.max(who) if words else F.count("*") > 1
+    kinds = materialize(runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "p", "shape")).alias("at"), many.alias("many")), "distinct-runs")
     # groups of the first digit whose runs differ, at least one of them unique
-    mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("g")
+    mixed = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.min("many").alias("all")).where("kinds > 1 and not all").select("g")
     of = lambda part, keys: part.join(keys, "g")
     asked = of(kinds, F.broadcast(mixed.join(F.broadcast(hot), "g"))).union(of(kinds.join(F.broadcast(hot), "g", "left_anti"), mixed.join(F.broadcast(hot), "g", "left_anti")))
-    asked = asked.select("at.doc_id", "at.tk", F.struct("s1", "s2", "at.p", "at.shape", (F.col("n") > 1).alias("many")).alias("run"))
+    asked = asked.select("at.doc_id", "at.tk", F.struct("s1", "s2", "at.p", "at.shape", "many", *([F.xxhash64("at.doc_id", "at.tk").alias("who")] if words else [])).alias("run"))
     asked = asked.groupBy("doc_id", "tk").agg(F.collect_list("run").alias("runs")).withColumnsRenamed({"doc_id": "id2", "tk": "tk2"})
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")))
-    contexts = materialize(texts.select("text", "runs").mapInArrow(_contexts(depth), "s1 long, s2 long, far int, near int, many boolean, ctx binary"), "contexts")
-    digits = "w1 long, w2 long, s1 long, s2 long, b int, many boolean"
+    whose = ", who long" if words else ""
+    contexts = materialize(texts.select("text", "runs").mapInArrow(_contexts(depth, words), f"s1 long, s2 long, far int, near int, many boolean, ctx binary{whose}"), "contexts")
+    digits = f"w1 long, w2 long, s1 long, s2 long, b int, many boolean{whose}"
 
     def again(rows: DataFrame) -> DataFrame:
-        # a run is listed twice where a row is repeated, so different runs are counted, not rows
-        return rows.groupBy("w1", "w2").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.max("many").alias("many")).where("x <> y or many").select("w1", "w2")
+        # a run is listed twice where a row is repeated, so different runs (of words: their documents) are counted, not rows
+        run = "who" if words else "s1"
+        return rows.groupBy("w1", "w2").agg(F.min(run).alias("x"), F.max(run).alias("y"), F.max("many").alias("many")).where("x <> y or many").select("w1", "w2")
 
-    cores = materialize(contexts.mapInArrow(_pass(depth, BLOCK), digits), "cores")
+    cores = materialize(contexts.mapInArrow(_pass(depth, block, block, words), digits), "cores")
     left = cores.join(again(cores), ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("b").alias("left"))
-    windows = materialize(contexts.join(left, ["s1", "s2"]).mapInArrow(_pass(depth, 1), digits), "windows")
+    windows = materialize(contexts.join(left, ["s1", "s2"]).mapInArrow(_pass(depth, 1, block, words), digits), "windows")
     part = windows.where("not many").join(again(windows), ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_set("b").alias("os"))
-    whole = kinds.where("n > 1").select("s1", "s2", F.lit(None).cast("array<int>").alias("os"))
+    whole = kinds.where("many").select("s1", "s2", F.lit(None).cast("array<int>").alias("os"))
     # a text that many runs share is found again without gathering those runs
-    often = F.broadcast(materialize(kinds.where(F.col("n") > max(runs.count() / HOT, 1)).select("s1", "s2"), "hot-runs"))  # HOT rows at most
+    often = F.broadcast(materialize(kinds.where("many").where(F.col("n") > max(runs.count() / HOT, 1)).select("s1", "s2"), "hot-runs"))  # HOT rows at most
     hit = runs.join(often, ["s1", "s2"]).withColumn("os", F.lit(None).cast("array<int>"))
     hit = hit.unionByName(runs.join(often, ["s1", "s2"], "left_anti").join(whole.join(often, ["s1", "s2"], "left_anti").union(part), ["s1", "s2"]))
     lo, hi = F.col("p") - F.floor(F.col("shape") / 4096), F.col("p") - F.col("shape") % 4096 + depth
@@ -294,13 +348,19 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
 
     docs: doc_id long, text string; other columns are ignored.  Returns doc_id,
     n_bytes, n_removed, n_spans, kept_sha256, kept_text (bytes of characters
-    that a cut has split are left out of kept_text only).
+    that a cut has split are left out of kept_text only), and n_passages and
+    n_passage_words: the maximal runs of words covered by PASSAGE words in a row
+    that another document holds too, whether or not they are removed.
 
     Null or short texts: nothing removed (null counts as empty).  Repeated rows
-    are copies of each other; rows with a null id are kept.  Empty table: empty
-    result.
+    are copies of each other, but one document as to passages; rows with a null
+    id are kept.  Empty table: empty result.
     """
-    found = repeated_spans(docs, depth, seed).withColumnsRenamed({"doc_id": "id2", "tk": "tk2"})
+    found = repeated_spans(docs, depth, seed)
+    passages = repeated_spans(docs, PASSAGE, PASSAGE_SEED, words=True).withColumnRenamed("found", "passages")
+    both = found.unionByName(passages, allowMissingColumns=True).groupBy("doc_id", "tk")
+    found = both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("found", "passages"))).withColumnsRenamed({"doc_id": "id2", "tk": "tk2"})
     texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("tk"))
     texts = texts.join(found, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")), "left")
-    return texts.select("doc_id", "text", "found").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_passages long, n_passage_words long"
+    return texts.select("doc_id", "text", "found", "passages").mapInArrow(_cut, schema)

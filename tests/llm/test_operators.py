@@ -51,6 +51,44 @@ def test_repeats_in_long_texts_without_hot_strings(spark, monkeypatch):
     assert got[2].n_removed == 3700 and got[3].n_removed == 3000 and got[3].kept_text == ""
 
 
+def test_passages_of_over_50_words_in_other_documents(spark, monkeypatch):
+    """Most are under 400 bytes, so their bytes stay; repeats within one document are none."""
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("abé") + str(rng.randrange(99)) for _ in range(n)]
+    p, q, r, s = words(51), words(50), words(80), words(70)
+    own = lambda n: words(rng.randint(1, n))
+    lists = [own(60) + p + own(60), own(60) + p + own(60) + r[:60], own(60) + q + ["x"], q + ["y"], own(9) + r + own(9), r[7:], p, s + s + own(9), s[:40] + own(200) + r[3:70], ["z"] * 300, ["z"] * 55 + p + p, ["w" * 400] + p]
+    rows = [(i, rng.choice([" ", "\n", "\t "]).join(w)) for i, w in enumerate(lists)] + [(30, None), (31, " "), (32, "lone " * 60), (32, "lone " * 60), (None, " ".join(own(9) + r))]
+    held, texts = {}, [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    for row, w in zip(rows, texts, strict=True):
+        for k in range(len(w) - 50):
+            held.setdefault(tuple(w[k : k + 51]), set()).add(row)
+    want = []
+    for (i, _), w in zip(rows, texts, strict=True):
+        covered = bytearray(b"-" * len(w))
+        for k in range(len(w) - 50):
+            if len(held[tuple(w[k : k + 51])]) > 1:
+                covered[k : k + 51] = b"+" * 51
+        want.append((i, len(re.findall(rb"\++", covered)), covered.count(b"+")))
+    assert [x[1:] for x in want[2:4]] == [(0, 0)] * 2 and want[0][1:] == (1, 51) and want[7][1:] == (0, 0) and want[13][1:] == (0, 0)
+    for hot in (repeats.HOT, 1, 10**9):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        got = repeats.remove_repeats(docs_of(spark, rows)).collect()
+        assert sorted(((x.doc_id, x.n_passages, x.n_passage_words) for x in got), key=str) == sorted(want, key=str)
+        assert next(x.n_removed for x in got if x.doc_id == 0) == 0
+
+
+def test_word_hashes_in_small_parts(monkeypatch):
+    texts = [None, "", " a bc\x0b\xa0d ", "bc", "e" * 99 + "\n" + "f" * 40 + " é", "\r", "bc a", "e" * 99]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    for part in (repeats.CHUNK, 50, 1):
+        monkeypatch.setattr(repeats, "CHUNK", part)
+        found, offs = repeats.word_hashes(pa.array(["x", *texts]).slice(1))
+        assert offs.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+        flat = [w for ws in words for w in ws]
+        assert [np.flatnonzero(found == h)[0] for h in found] == [flat.index(w) for w in flat]
+
+
 @pytest.mark.parametrize("route", [1 << 20, 64])
 def test_jaccard(spark, monkeypatch, route):
     monkeypatch.setattr(shingles, "ROUTE", route)  # 64: many routes, and n-grams dealt to several
