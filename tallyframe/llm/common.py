@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -14,6 +16,38 @@ from pyspark.sql import functions as F
 #: Word separators of the word-level operators: space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _paths: dict[int, str] = {}
+#: What Python workers keep between tasks; steps marked ``tidy`` empty them.
+CACHES: list[dict] = []
+
+
+def _drop_caches() -> None:
+    for kept in CACHES:
+        kept.clear()
+
+
+def _give_back() -> None:
+    """Return to the system what the allocators hold free."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """A step whose worker holds little when idle.  Workers outlive their tasks,
+    and what they hold adds to the heap of the executor's JVM: other operators'
+    caches go before the step, and memory that it no longer uses after it."""
+
+    @functools.wraps(run)
+    def step(batches):
+        _drop_caches()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return step
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +142,7 @@ def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+@tidy
 def _forest(batches):
     """Replace a task's edges by stars with the same components."""
     import pandas as pd

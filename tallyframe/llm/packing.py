@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, text_bytes
+from .common import CACHES, forget, materialize, slices, text_bytes
 
 LENGTH, END, SHARD_BYTES = 2048, 1, 6_000_000
 K1, B = 1.2, 0.75
@@ -42,7 +42,9 @@ KEPT_WORDS, TEXT_BYTES = 1_000_000, 4 << 20
 #: the tokenizer splits into two pieces.  Other words are handed to it whole.
 _PLAIN = "^(?P<letters>[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 _tokenizers: dict = {}
-_known: dict[str, bytes] = {"": b""}
+_known: dict[str, bytes] = {}
+_axes: dict[int, np.ndarray] = {}
+CACHES += [_tokenizers, _known, _axes]
 
 
 def _load(path: str):
@@ -90,11 +92,11 @@ def _encode_alone(path: str, words: list[str]) -> None:
 
 
 def _look_up(path: str, words: list[str], encode) -> list[bytes]:
-    new = [w for w in words if w not in _known]
+    new = [w for w in words if w and w not in _known]
     if len(_known) + len(new) > KEPT_WORDS:
         _known.clear()
-        _known[""] = b""
         new = [w for w in words if w]
+    _known[""] = b""
     encode(path, new)
     return [_known[w] for w in words]
 
@@ -185,9 +187,6 @@ def _weights(doc: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray,
     return t, idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(doc) / max(mean, 1)))
 
 
-_axes: dict[int, np.ndarray] = {}
-
-
 def sketch(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> np.ndarray:
     """Unit rows: the documents' BM25 weights on fixed random axes."""
     if len(idf) not in _axes:

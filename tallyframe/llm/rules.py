@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, text_bytes
+from .common import forget, materialize, slices, text_bytes, tidy
 from .shingles import _STEP, _U, _WORD, mix, word_hashes
 
 TREES, LEAF, SPARE = 128, 256, 0.001
@@ -163,6 +163,7 @@ def _tables(batch):
 
 
 def _measured(carried: list[str]):
+    @tidy
     def run(batches):
         for batch in batches:
             for part, s in _tables(batch):
@@ -176,6 +177,7 @@ def _features(batch) -> np.ndarray:
     return features(pd.DataFrame({c: batch.column(c).to_numpy() for c in COUNTS + EXTRA}))
 
 
+@tidy
 def _ranges(batches):
     """Least and greatest features of a task's rows."""
     both = [(x.min(0), x.max(0)) for x in map(_features, batches) if len(x)]
@@ -187,6 +189,7 @@ def _ranges(batches):
 def _held(shared):
     """Rows in each leaf of each tree."""
 
+    @tidy
     def run(batches):
         forest = shared.value
         size = forest.feature.shape[1]
@@ -202,6 +205,7 @@ def _held(shared):
 
 
 def _scores(shared):
+    @tidy
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.score(_features(batch)))], ["anomaly"])
@@ -232,6 +236,7 @@ def fit(measured: DataFrame, labels: DataFrame, spare: float = SPARE) -> Forest:
 
 
 def _judge(shared, carried: list[str]):
+    @tidy
     def run(batches):
         forest = shared.value
         for batch in batches:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, materialize, slices, text_bytes, text_key
+from .common import components, forget, materialize, slices, text_bytes, text_key, tidy
 from .repeats import _rolling, mix
 
 FREQUENT, ROUTE = 1 << 18, 1 << 20
@@ -125,6 +125,7 @@ def _set_slices(batches, size: int, limit: int):
 def _sum_up(size: int):
     """A row per document (kind 0) and per n-gram that a slice holds in 3 sets or more (kind 1)."""
 
+    @tidy
     def run(batches):
         for part, sets in _set_slices(batches, size, 4 << 20):
             n = np.array([len(s) for s in sets], np.int64)
@@ -160,6 +161,7 @@ def _hashed(t: np.ndarray) -> np.ndarray:
 def _routed(size: int, percent: int, routes: int, shared):
     """First n-grams of each set, packed by route: (route, rows)."""
 
+    @tidy
     def run(batches):
         frequent, rank, hot, deals = shared.value
         for _, sets in _set_slices(batches, size, 16 << 20):
@@ -196,6 +198,7 @@ def _routed(size: int, percent: int, routes: int, shared):
     return run
 
 
+@tidy
 def _meet(batches):
     """Rows come sorted by route.  For each n-gram that two classes share, a row
     for each class (kind 0: t, cls, rest); and for each class how many others its
@@ -287,6 +290,7 @@ class PrefixTree:
 def _verify(percent: int, size: int, shared):
     """Rows (a, part, b, text) come sorted by leader and part, the leader's own text first."""
 
+    @tidy
     def run(batches):
         frequent, rank, *_ = shared.value
         now, probe = None, None

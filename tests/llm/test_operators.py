@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -325,6 +327,30 @@ def test_words_in_runs_have_the_ids_of_whole_texts():
         assert own.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_idle_workers_hold_little():
+    """A worker that packed and then ran a step of another operator has the memory of a new one again."""
+    code = """if True:
+        import random, re, sys
+        import public_tokenizers, pyarrow as pa
+        from tallyframe.llm import packing, rules, shingles
+        held = lambda: sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+        rng, path = random.Random(3), public_tokenizers.path("word_bpe_49k.json")
+        texts = lambda: pa.array([" ".join("%x" % rng.getrandbits(40) for _ in range(200)) for _ in range(1500)])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(range(1500)), texts(), pa.array(range(1500))], ["doc_id", "text", "tk"])
+        rows = lambda step: sum(b.num_rows for b in step([batch()]))
+        assert rows(rules._measured([])) == 1500
+        new, packed = held(), rows(packing._tokens(path))
+        after = held()
+        assert packed == 1500 and after > new + 100, (new, after)
+        assert rows({"rules": rules._measured([]), "shingles": shingles._sum_up(5)}[sys.argv[1]]) >= 1500
+        assert held() < new + 60, (new, after, held())
+        assert rows(packing._tokens(path)) == 1500
+    """
+    for step in ("rules", "shingles"):
+        done = subprocess.run([sys.executable, "-c", code, step], capture_output=True, text=True)
+        assert not done.returncode, done.stderr[-600:]
+
+
 def test_packing_keeps_copies_together_in_many_shards(spark):
     import public_tokenizers
 
