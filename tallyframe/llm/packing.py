@@ -36,8 +36,10 @@ LENGTH, END, SHARD_BYTES = 2048, 1, 6_000_000
 K1, B = 1.2, 0.75
 #: Numbers in a sketch; documents for each leaf from which the cuts are drawn (every document is dealt by them).
 SKETCH, LEAF_SAMPLE = 128, 48
+#: Neighbours that are put in order at first.
+NEAR = 32
 #: Pieces of words, and words not cut into pieces, kept per worker; bytes of text encoded at a time.
-KEPT_WORDS, TEXT_BYTES = 1_000_000, 4 << 20
+KEPT_WORDS, TEXT_BYTES = 1_000_000, 16 << 20
 #: Letters that every version of Unicode lower-cases alike, then ASCII marks: what
 #: the tokenizer splits into two pieces.  Other words are handed to it whole.
 _PLAIN = "^(?P<letters>[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
@@ -101,13 +103,20 @@ def _look_up(path: str, words: list[str], encode) -> list[bytes]:
     return [_known[w] for w in words]
 
 
-def _joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each row)."""
-    return np.frombuffer(b"".join(rows), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+def _binary(raw: bytes | np.ndarray, size: np.ndarray) -> pa.Array:
+    """Cells of the given sizes in bytes, cut from ``raw``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size, dtype=np.int64)]), pa.py_buffer(raw)])
 
 
-def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, number of ids of each).
+def _flat(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array."""
+    _, offsets, raw = cells.buffers()
+    offs = np.frombuffer(offsets, np.int64)[cells.offset : cells.offset + len(cells) + 1]
+    return np.frombuffer(raw or b"", np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _encode(path: str, texts: pa.Array, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each); with ``end``, END follows each text's.
 
     The tokenizer drops white space and never joins across it, so the distinct
     words of the texts are found by Arrow, and the distinct pieces of those are
@@ -116,31 +125,34 @@ def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(texts)
     odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False)
-    split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+    split = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
     words = split.flatten().dictionary_encode()
-    which, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+    which, distinct = words.indices.to_numpy(), words.dictionary
     per_text = split.value_lengths().to_numpy().astype(np.int64)
     cut = pc.extract_regex(distinct, _PLAIN)
     plain = cut.is_valid().to_numpy(zero_copy_only=False) & (_load(path)[1] is not None)
     letters, marks = (pc.struct_field(cut, i).filter(pa.array(plain)) for i in (0, 1))
     pieces = pa.concat_arrays([pc.utf8_lower(letters), marks]).dictionary_encode()
     rows = _look_up(path, pieces.dictionary.to_pylist(), _encode_pieces) + _look_up(path, distinct.filter(pa.array(~plain)).to_pylist(), _encode_alone)
-    rows += [_raw(_load(path)[0].encode(t, add_special_tokens=False).ids) for t in texts.filter(pa.array(odd)).to_pylist()] + [b""]
-    ids, size = _joined(rows)
+    rows += [_raw(_load(path)[0].encode(t, add_special_tokens=False).ids) for t in texts.filter(pa.array(odd)).to_pylist()] + [b"", _raw([END] * end)]
+    # ids fit in 16 bits for vocabularies up to 65,536
+    ids = np.frombuffer(b"".join(rows), np.uint32)
+    ids = ids.astype(np.uint16) if _load(path)[0].get_vocab_size() <= 65536 else ids
+    cells = _binary(ids, np.fromiter(map(len, rows), np.int64, len(rows)) // 4 * ids.itemsize)
     # a word is two rows: letters and marks, or itself and nothing
-    k, at = len(pieces.dictionary), pieces.indices.to_numpy()
-    parts = np.full((len(distinct), 2), len(rows) - 1, np.int64)
+    k, at, m = len(pieces.dictionary), pieces.indices.to_numpy(), len(distinct)
+    parts = np.full((m, 2), len(rows) - 2, np.int64)
     parts[plain] = at.reshape(2, -1).T
-    parts[~plain, 0] = k + np.arange(len(distinct) - plain.sum())
-    order = parts[which].ravel()
-    ends = 2 * np.cumsum(per_text)
-    # odd texts are a row of their own
-    order = np.insert(order, ends[odd], len(rows) - 1 - odd.sum() + np.arange(odd.sum()))
-    ends = ends + np.cumsum(odd)
-    many, start = size[order], np.cumsum(size) - size
-    done = np.r_[0, np.cumsum(many)]
-    out = ids[np.repeat(start[order] - done[:-1], many) + np.arange(done[-1])]
-    return out, np.diff(np.r_[0, done[ends]])
+    parts[~plain, 0] = k + np.arange(m - plain.sum())
+    raw, offs = _flat(cells.take(pa.array(parts.ravel())))
+    # the words' cells, one for each odd text, and what ends a text
+    others = cells.slice(len(rows) - 2 - odd.sum())
+    cells = pa.concat_arrays([_binary(raw, np.diff(offs[::2])), others])
+    ends = np.cumsum(per_text)
+    order = np.insert(which, np.r_[ends[odd], ends], np.r_[m + np.arange(odd.sum()), np.full(n, m + odd.sum() + 1)])
+    raw, offs = _flat(cells.take(pa.array(order)))
+    done = offs[ends + np.cumsum(odd) + np.arange(1, n + 1)] // ids.itemsize
+    return raw.view(ids.dtype), np.diff(np.r_[0, done])
 
 
 def _tokens(path: str):
@@ -149,27 +161,32 @@ def _tokens(path: str):
             ids, texts = batch.column("doc_id"), batch.column("text").fill_null("")
             _, offs = text_bytes(texts)
             for a, b in slices(offs, TEXT_BYTES):
-                flat, n = _encode(path, texts.slice(a, b - a))
-                flat, n = np.insert(flat, np.cumsum(n), END), n + 1
-                flat = flat.astype(np.uint16) if flat.max() < 65536 else flat
-                cut = np.r_[0, np.cumsum(n) * flat.itemsize]
-                kept = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+                flat, n = _encode(path, texts.slice(a, b - a), end=True)
+                kept = _binary(flat, n * flat.itemsize).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), kept], ["doc_id", "doc_tokens", "ids"])
 
     return run
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
-    """Ids kept in 16 bits where all fit."""
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.uint32)
+    """Ids, in 16 bits where they are kept so."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def _counts(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, how often each is there); 16-bit ids are sorted by radix."""
+    if not len(doc):
+        return doc, np.zeros(0, np.int64)
+    doc = np.sort(doc, kind="stable")
+    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+    return doc[at[:-1]], np.diff(at)
 
 
 def _frequencies(batches):
     for batch in batches:
         n, total = batch.column("doc_tokens").to_numpy(), np.zeros(65536, np.int64)
-        for raw, k in zip(batch.column("ids"), n, strict=True):
-            raw = raw.as_buffer()
-            at = np.unique(np.frombuffer(raw, np.uint16 if raw.size == 2 * k else np.uint32))
+        for raw, k in zip(batch.column("ids").to_pylist(), n, strict=True):
+            at = _counts(_ids(raw, k))[0]
             if len(at) and at[-1] >= len(total):
                 total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
             total[at] += 1
@@ -183,7 +200,7 @@ def _idf(df: np.ndarray, total: int) -> np.ndarray:
 
 def _weights(doc: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """(terms, BM25 weights) of a document."""
-    t, c = np.unique(doc, return_counts=True)
+    t, c = _counts(doc)
     return t, idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(doc) / max(mean, 1)))
 
 
@@ -281,7 +298,8 @@ class Index:
         order = np.argsort(terms, kind="stable")
         terms, self.owner, self.weight = terms[order], owner[order], weight[order].astype(np.float32)
         self.start = np.searchsorted(terms, np.arange(len(df) + 1))
-        self.count = len(docs)
+        #: the documents' numbers; how many places a term needs to bring a seed to others
+        self.docs, self.count, self.least = np.arange(len(docs)), len(docs), 2
         # terms of many documents have a row over all of them, which is faster to add
         often = np.flatnonzero(np.diff(self.start) > max(self.count / 8, 1))
         self.row = np.full(len(df), -1, np.int64)
@@ -290,23 +308,39 @@ class Index:
         at = self.row[terms] >= 0
         self.rows[self.row[terms[at]], self.owner[at]] = self.weight[at]
 
+    def left(self, open_: np.ndarray) -> Index:
+        """The index of some of its documents only, with the same weights."""
+        out = object.__new__(Index)
+        out.idf, out.row, out.least = self.idf, self.row, 1
+        out.docs, out.rows = self.docs[open_], self.rows[:, open_]
+        out.count = len(out.docs)
+        at = open_[self.owner]
+        out.owner, out.weight = (np.cumsum(open_, dtype=np.int32) - 1)[self.owner[at]], self.weight[at]
+        out.start = np.r_[0, np.cumsum(at)][self.start]
+        return out
+
     def scores(self, seed: np.ndarray) -> np.ndarray:
         """BM25 of all documents to all terms of the seed."""
-        terms = np.unique(seed)
+        terms = _counts(seed)[0].astype(np.int64)
         row = self.row[terms]
         score = self.rows[row[row >= 0]].sum(0, dtype=np.float64)
-        spans = [np.arange(self.start[t], self.start[t + 1]) for t in terms[row < 0] if self.start[t + 1] - self.start[t] > 1]
+        terms = terms[row < 0]
+        lo, hi = self.start[terms], self.start[terms + 1]
+        some = hi - lo >= self.least
+        spans = [slice(a, b) for a, b in zip(lo[some].tolist(), hi[some].tolist(), strict=True)]
         if spans:
-            at = np.concatenate(spans)
-            score += np.bincount(self.owner[at], self.weight[at], self.count)
+            score += np.bincount(np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.count)
         return score
 
-    def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first."""
+    def neighbours(self, seed: np.ndarray, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused documents that share a term with the seed, best first; with ``most``,
+        that many and those that tie with the last, if there are more."""
         score = self.scores(seed)
-        score[~unused] = 0
+        score[~unused[self.docs]] = 0
         near = np.flatnonzero(score > 0)
-        return near[np.argsort(-score[near], kind="stable")]
+        if most is not None and len(near) > most:
+            near = near[score[near] >= np.partition(score[near], -most)[-most]]
+        return self.docs[near[np.argsort(-score[near], kind="stable")]]
 
 
 def fill(docs: list[np.ndarray], index: Index, length: int = LENGTH):
@@ -335,11 +369,18 @@ def fill(docs: list[np.ndarray], index: Index, length: int = LENGTH):
             queue = [(doc, done)]  # the rest seeds the next window
         elif room and not queue:
             room_left = room
-            for near in index.neighbours(docs[doc], unused):
-                unused[near] = False
-                queue.append((int(near), 0))
-                room_left -= size[near]
-                if room_left <= 0:
+            open_ = unused[index.docs]
+            if 4 * open_.sum() < 3 * len(open_):  # used documents leave the index by and by
+                index = index.left(open_)
+            for most in (NEAR, None):  # the others are put in order where the first don't fill the window
+                found = index.neighbours(docs[doc], unused, most)
+                for near in found:
+                    unused[near] = False
+                    queue.append((int(near), 0))
+                    room_left -= size[near]
+                    if room_left <= 0:
+                        break
+                if room_left <= 0 or len(found) < NEAR:
                     break
     tail = [p for p in pieces if p[0] == sequence]
     yield from (p for p in pieces if p[0] < sequence)

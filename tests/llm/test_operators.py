@@ -380,6 +380,45 @@ def test_packing_asks_for_all_terms():
     assert index.neighbours(docs[0], np.array([False, True, True, True, True])).tolist() == [1]
 
 
+def test_ids_of_texts_with_their_end():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array(["", "a b", "a\x1cb", " \t", "x\x1fy", "Größe,%% ÀÉ! 12", ""])
+    ids, n = packing._encode(path, texts)
+    with_end, m = packing._encode(path, texts, end=True)
+    want = [[*own.tolist(), packing.END] for own in np.split(ids, np.cumsum(n)[:-1])]
+    assert [own.tolist() for own in np.split(with_end, np.cumsum(m)[:-1])] == want and with_end.itemsize == 2
+
+
+def test_used_documents_leave_the_index(monkeypatch):
+    """Fewer documents are scored as windows are filled; the neighbours are those of the whole index."""
+    rng = np.random.default_rng(4)
+    docs = [np.sort(rng.zipf(1.3, rng.integers(30, 90)) % 3000 + 2).astype(np.uint16) for _ in range(400)]
+    docs += docs[:150]  # ties
+    df = np.zeros(65536)
+    for d in docs:
+        df[np.unique(d)] += 1
+    index, scored = packing.Index(docs, df, len(docs), 60.0), []
+    scores, neighbours = packing.Index.scores, packing.Index.neighbours
+
+    def checked(self, seed, unused, most=None):
+        score = scores(index, seed)
+        near = np.flatnonzero(unused & (score > 0))
+        found = neighbours(self, seed, unused, most)
+        want = near[np.argsort(-score[near], kind="stable")]
+        assert found.tolist() == want[: len(found)].tolist() and len(found) >= min(len(want), most or len(want))
+        return found
+
+    monkeypatch.setattr(packing.Index, "scores", lambda self, seed: scored.append(self.count) or scores(self, seed))
+    monkeypatch.setattr(packing.Index, "neighbours", checked)
+    for length in (300, 3000):  # up to NEAR documents in a window, and more
+        scored.clear()
+        pieces = list(packing.fill(docs, index, length))
+        assert sum(n for *_, n, _ in pieces) == sum(map(len, docs))
+        assert len(scored) > 5 and sum(scored) < 0.8 * len(docs) * len(scored)
+
+
 def test_pseudonyms_without_digits(spark):
     secrets = ["password: correcthorsebattery", "passwd=abcdefgh", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "abcdefabcd" * 4, "ABCDEFABCD" * 4]
     rows = [(i, f"see {s} here") for i, s in enumerate(secrets)] + [(9, "a password is a word")]
