@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 #: Word separators of the word-level operators: space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _paths: dict[int, str] = {}
+#: Tables are written to a local folder without checksum files: Hadoop starts a process for every file and folder
+#: that it makes there, to set its mode, and until that runs chmod it counts as a second copy of the JVM's memory.
+#: Other file systems are not concerned.
+LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: What Python workers keep between tasks; steps marked ``tidy`` empty them.
 CACHES: list[dict] = []
 
@@ -70,7 +74,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **LOCAL).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures with nulls, ties and repeats."""
 
 import hashlib
+import os
 import random
 import re
 import subprocess
@@ -327,6 +328,19 @@ def test_words_in_runs_have_the_ids_of_whole_texts():
         assert own.tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tables_are_written_without_a_process_for_each_file(spark):
+    """The local file system starts chmod for a file that has a checksum file, and for that file, too."""
+    from tallyframe.llm import common
+
+    kept = common.materialize(spark.range(100).repartition(3), "kept")
+    names = os.listdir(common._paths[id(kept)].removeprefix("file://"))
+    assert sum(n.endswith(".parquet") for n in names) == 3 and not [n for n in names if n.endswith(".crc")]
+    assert kept.count() == 100
+    path = common._paths[id(kept)].removeprefix("file://")
+    common.forget(kept)
+    assert not os.path.exists(path)
+
+
 def test_idle_workers_hold_little():
     """A worker that packed and then ran a step of another operator has the memory of a new one again."""
     code = """if True:
